@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import bpe, media
-from skein.llm.common import table
+from skein.llm import bpe, language, media, simhash
+from skein.llm.common import held_out, table
 
 
 def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,5 +25,16 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_table(table(spark, sf_dir, "documents"), word_bpe(), digests=True)
 
 
-QUERIES = {"op2_media": op2_media, "op4_bpe": op4_bpe}
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), words=4, radius=4)
+
+
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.fit(docs.where(~held_out(F.col("doc_id"), 4)))
+    found = language.identify(docs, model)
+    return found.select("doc_id", held_out(F.col("doc_id"), 4).alias("held_out"), "lang_pred", "score")
+
+
+QUERIES = {"op2_media": op2_media, "op4_bpe": op4_bpe, "op9_simhash": op9_simhash, "op10_language": op10_language}
 ORACLE_SQL: dict[str, str] = {}
