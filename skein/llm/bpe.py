@@ -259,13 +259,30 @@ def load(spec_text: str) -> WordBpe:
     return kept("bpe-" + hashlib.sha256(spec_text.encode()).hexdigest(), lambda: WordBpe(json.loads(spec_text)))
 
 
-def encode_table(docs: DataFrame, spec_text: str, key: str = "doc_id", text: str = "text", digests: bool = False) -> DataFrame:
-    """Ids and decoded text of every row: (key, n_tokens, ids, decoded), or their SHA-256 digests.
+def word_bpe() -> str:
+    """The JSON of the public word-level tokenizer file."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        return f.read()
+
+
+#: What encode_table can give of a text's decimal ids and of its decoded text.
+OUTPUTS = {
+    "ids": lambda ids, decoded: ids,
+    "decoded": lambda ids, decoded: decoded,
+    "ids_sha256": lambda ids, decoded: hashlib.sha256(ids.encode()).hexdigest(),
+    "decoded_sha256": lambda ids, decoded: hashlib.sha256(decoded.encode()).hexdigest(),
+}
+
+
+def encode_table(docs: DataFrame, spec_text: str, key: str = "doc_id", text: str = "text", outputs: tuple[str, ...] = ("ids", "decoded")) -> DataFrame:
+    """(key, n_tokens, *outputs) of every row.
 
     spec_text is the tokenizer file's JSON, a fixed vocabulary that doesn't grow with the data.
     """
     spec = docs.sparkSession.sparkContext.broadcast(spec_text)
-    ddl = "row_key long, n_tokens long, " + ("ids_sha256 string, decoded_sha256 string" if digests else "ids string, decoded string")
+    ddl = "row_key long, n_tokens long, " + ", ".join(f"{x} string" for x in outputs)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema, bpe = arrow_schema(ddl), load(spec.value)
@@ -277,8 +294,8 @@ def encode_table(docs: DataFrame, spec_text: str, key: str = "doc_id", text: str
                     ids, decoded = bpe.written(x)
                     rows["row_key"].append(key)
                     rows["n_tokens"].append(ids.count(" ") + 1 if ids else 0)
-                    for name, value in zip(schema.names[2:], (ids, decoded), strict=True):
-                        rows[name].append(hashlib.sha256(value.encode()).hexdigest() if digests else value)
+                    for name in outputs:
+                        rows[name].append(OUTPUTS[name](ids, decoded))
                 yield batches(rows, schema)
 
     return docs.select(F.col(key).cast("long").alias("row_key"), F.col(text).alias("row_text")).mapInArrow(run, ddl).withColumnRenamed("row_key", key)

@@ -225,3 +225,19 @@ def identify(docs: DataFrame, model: dict, key: str = "doc_id", text: str = "tex
                 yield batches({"row_key": part.column("row_key"), "lang_pred": preds, "score": scores}, schema)
 
     return docs.select(F.col(key).cast("long").alias("row_key"), F.col(text).alias("row_text")).mapInArrow(run, ddl).withColumnRenamed("row_key", key)
+
+
+def accepted(docs: DataFrame, model: dict, least: float, text: str = "text") -> DataFrame:
+    """The rows, with all their columns, that have a language whose share is at least this."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        labeller = kept(f"crf-{sent._path}", lambda: Labeller(sent.value))
+        for batch in it:
+            for at in range(0, batch.num_rows, STEP_DOCS):
+                part = batch.slice(at, STEP_DOCS)
+                preds, scores = labeller.predict(list(texts(part, text)))
+                yield part.filter(pa.array([p != UNKNOWN and s >= least for p, s in zip(preds, scores, strict=True)], pa.bool_()))
+
+    return docs.mapInArrow(run, ddl)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import bpe, language, media, simhash
+from skein.llm import bpe, decontaminate, language, media, resample, simhash, spans
 from skein.llm.common import held_out, table
 
 
@@ -13,16 +14,20 @@ def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_features(table(spark, sf_dir, "documents"))
 
 
-def word_bpe() -> str:
-    """The JSON of the public word-level tokenizer file."""
-    import public_tokenizers
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_table(table(spark, sf_dir, "documents"), bpe.word_bpe(), outputs=("ids_sha256", "decoded_sha256"))
 
-    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
-        return f.read()
 
+def op3_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
-def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode_table(table(spark, sf_dir, "documents"), word_bpe(), digests=True)
+
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op6_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_sentences", "n_removed")
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,5 +41,5 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id"), 4).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {"op2_media": op2_media, "op4_bpe": op4_bpe, "op9_simhash": op9_simhash, "op10_language": op10_language}
+QUERIES = {"op2_media": op2_media, "op3_resample": op3_resample, "op4_bpe": op4_bpe, "op5_decontaminate": op5_decontaminate, "op6_spans": op6_spans, "op9_simhash": op9_simhash, "op10_language": op10_language, "pipeline": corpus_pipeline.run}
 ORACLE_SQL: dict[str, str] = {}

@@ -197,3 +197,16 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFra
     """(doc_id, fingerprint, component_id) of every document."""
     prints = stash(fingerprints(docs, words), "doc-prints")
     return groups(prints, radius).select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, words: int = 5, radius: int = 4) -> DataFrame:
+    """The rows, with all their columns, without near-duplicates: of every group the
+    document with the smallest doc_id stays. Rows that repeat a doc_id count as copies
+    of it and one stays; rows without doc_id stay, as nothing else tells them apart."""
+    prints = stash(fingerprints(docs.where("doc_id IS NOT NULL"), words), "doc-prints")
+    best = groups(prints, radius).where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("copies"))
+    best = stash(best.select(F.col("doc_id").alias("skein_id"), "copies"), "kept")
+    kept_rows = docs.join(best, docs["doc_id"] == best["skein_id"], "left_semi")
+    if best.where("copies > 1").limit(1).count():
+        kept_rows = kept_rows.dropDuplicates(["doc_id"])
+    return kept_rows.unionByName(docs.where("doc_id IS NULL"))
