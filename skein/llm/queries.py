@@ -6,7 +6,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import bpe, decontaminate, language, media, resample, simhash, spans
+from skein.llm import bpe, decontaminate, language, media, resample, simhash, spans, urlrules, warc
 from skein.llm.common import held_out, table
 
 
@@ -30,6 +30,17 @@ def op6_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_sentences", "n_removed")
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive(table(spark, sf_dir, "pages"))
+
+
+URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+
+
+def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlrules.judge(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).select("page_id", "host", "path", "rule", "verdict", "mined")
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), words=4, radius=4)
 
@@ -41,5 +52,5 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id"), 4).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {"op2_media": op2_media, "op3_resample": op3_resample, "op4_bpe": op4_bpe, "op5_decontaminate": op5_decontaminate, "op6_spans": op6_spans, "op9_simhash": op9_simhash, "op10_language": op10_language, "pipeline": corpus_pipeline.run}
+QUERIES = {"op2_media": op2_media, "op3_resample": op3_resample, "op4_bpe": op4_bpe, "op5_decontaminate": op5_decontaminate, "op6_spans": op6_spans, "op7_warc": op7_warc, "op8_urls": op8_urls, "op9_simhash": op9_simhash, "op10_language": op10_language, "pipeline": corpus_pipeline.run}
 ORACLE_SQL: dict[str, str] = {}

@@ -32,7 +32,6 @@ from skein.llm.common import arrow_schema, batches, kept, stash, texts
 
 BUCKETS = 1 << 15
 TARGET_DOCS = 20_000
-SHARE = 0.8
 REMEMBERED = 1_000_000
 SMOOTHING = 0.5
 
@@ -159,8 +158,17 @@ def top_cut(keys: DataFrame, k: int, column: str, bins: int = 1024, few: int = 2
     return row[column], row["doc_id"]
 
 
-def resample(docs: DataFrame, labels: DataFrame, share: float = SHARE, seed: int = 11) -> DataFrame:
-    """(doc_id, n_grams, log_weight, gumbel_key, selected): the sample is the share of documents with the largest keys."""
+def good_share(labels: DataFrame) -> float:
+    """The share of good documents among all labelled ones; 1 without labels."""
+    good = F.avg(F.expr("CAST(coalesce(quality = 1 AND coalesce(toxic, 0) = 0, false) AS INT)"))
+    share = labels.agg(good.alias("share")).first().share
+    return 1.0 if share is None else share
+
+
+def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, seed: int = 11) -> DataFrame:
+    """(doc_id, n_grams, log_weight, gumbel_key, selected): the sample is the share of documents
+    with the largest keys, by default the share that is good among the labelled ones."""
+    share = good_share(labels) if share is None else share
     uniform = (F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 11).cast("double") + 0.5) / float(1 << 53)
     noisy = stash(weigh(docs, labels).withColumn("gumbel_key", F.col("log_weight") - F.log(-F.log(uniform))), "weights")
     # Rows that repeat a doc_id count once, by their largest key.
