@@ -39,11 +39,15 @@ def fresh(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/skein/{name}-{uuid.uuid4().hex}"
 
 
-def stash(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and reread it: cuts the lineage, outlives executors."""
+def stash(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write a table to the shared folder and reread it: cuts the lineage, outlives executors.
+
+    by: a string column whose values are kept in files of their own.
+    """
     spark = df.sparkSession
     path = fresh(spark, name)
-    df.write.parquet(path)
+    out = df.write.option("compression", "zstd")
+    (out.partitionBy(by) if by else out).parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._skein_path = path
     return back

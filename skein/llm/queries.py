@@ -6,10 +6,14 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import bpe, decontaminate, language, media, resample, simhash, spans, urlrules, warc
+from skein.llm import bpe, decontaminate, language, media, pitmanyor, resample, simhash, spans, urlrules, warc
 from skein.llm.common import held_out, table
 
 
+def op1_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitmanyor.score_documents(table(spark, sf_dir, "documents"), held_out(F.col("doc_id"), 7))
+
+
 def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_features(table(spark, sf_dir, "documents"))
 
@@ -52,5 +56,5 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id"), 4).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {"op2_media": op2_media, "op3_resample": op3_resample, "op4_bpe": op4_bpe, "op5_decontaminate": op5_decontaminate, "op6_spans": op6_spans, "op7_warc": op7_warc, "op8_urls": op8_urls, "op9_simhash": op9_simhash, "op10_language": op10_language, "pipeline": corpus_pipeline.run}
+QUERIES = {"op1_pitman_yor": op1_pitman_yor, "op2_media": op2_media, "op3_resample": op3_resample, "op4_bpe": op4_bpe, "op5_decontaminate": op5_decontaminate, "op6_spans": op6_spans, "op7_warc": op7_warc, "op8_urls": op8_urls, "op9_simhash": op9_simhash, "op10_language": op10_language, "pipeline": corpus_pipeline.run}
 ORACLE_SQL: dict[str, str] = {}
