@@ -70,7 +70,7 @@ def bm25(index: DataFrame, sizes: DataFrame, phrases: list[str], limit: int = DE
         hits = index.where(F.col("term") == tokens[0]).select("id", "dl", "tf", "positions")
         for k, token in enumerate(tokens[1:], 1):
             more = index.where(F.col("term") == token).select("id", F.col("positions").alias("next"))
-            hits = hits.join(more, "id").withColumn("positions", F.filter("positions", lambda p, k=k: F.array_contains("next", p + k))).where(F.size("positions") > 0).drop("next")
+            hits = hits.join(more, "id").withColumn("positions", F.filter("positions", follows(k))).where(F.size("positions") > 0).drop("next")
         hits = hits.select("id", "dl", (F.size("positions") if len(tokens) > 1 else F.col("tf")).alias("tf"), F.lit(number).alias("phrase"))
         scored = hits if scored is None else scored.unionByName(hits)
     if scored is None:
@@ -85,6 +85,11 @@ def bm25(index: DataFrame, sizes: DataFrame, phrases: list[str], limit: int = DE
     return ranked.orderBy(F.desc("score"), "id").limit(limit)
 
 
+def follows(step: int) -> Callable[[Column], Column]:
+    """Whether the next token stands so many places behind a position."""
+    return lambda p: F.array_contains("next", p + step)
+
+
 def _split(text: str) -> list[str]:
     import re
 
