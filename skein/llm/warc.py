@@ -52,7 +52,8 @@ def surt(url: str | None) -> str:
     rest = re.sub(r"^[^/?#]*://", "", url or "").split("#", 1)[0]
     host, path = re.match(r"([^/?]*)(.*)", rest, re.DOTALL).groups()
     host, _, port = host.rpartition("@")[2].lower().partition(":")
-    return ",".join(reversed(host.split("."))) + (f":{port}" if port else "") + ")" + re.sub(r"\s", lambda m: "%%%02X" % ord(m[0]), path)
+    key = ",".join(reversed(host.split("."))) + (f":{port}" if port else "") + ")" + path
+    return re.sub(r"\s", lambda m: "%%%02X" % ord(m[0]), key)
 
 
 def digest(payload: bytes) -> str:
