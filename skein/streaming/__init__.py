@@ -1 +1 @@
-
+"""Refreshing a graph from a stream of changed files."""
