@@ -57,4 +57,10 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_pitman_yor": op1_pitman_yor, "op2_media": op2_media, "op3_resample": op3_resample, "op4_bpe": op4_bpe, "op5_decontaminate": op5_decontaminate, "op6_spans": op6_spans, "op7_warc": op7_warc, "op8_urls": op8_urls, "op9_simhash": op9_simhash, "op10_language": op10_language, "pipeline": corpus_pipeline.run}
-ORACLE_SQL: dict[str, str] = {}
+#: Base 32 of a SHA-1: its 160 bits in groups of five.
+OP7_SQL = """WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS raw FROM pages), d AS (SELECT page_id, octet_length(raw) AS payload_bytes, raw, sha1(raw) AS hex FROM p),
+m AS (SELECT raw, max(page_id) AS top FROM d GROUP BY raw),
+b AS (SELECT page_id, payload_bytes, raw, array_to_string(list_transform(range(1, 41), lambda i: lpad(bin(position(upper(hex[i]) IN '0123456789ABCDEF') - 1), 4, '0')), '') AS bits FROM d)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes, array_to_string(list_transform(range(0, 32), lambda i: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[list_sum(list_transform(range(1, 6), lambda k: bits[5 * i + k]::INT * (1 << (5 - k)::INT)))::INT + 1]), '') AS payload_digest,
+CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> top THEN top END AS refers_to FROM b JOIN m USING (raw)"""
+ORACLE_SQL: dict[str, str] = {"op7_warc": OP7_SQL}
