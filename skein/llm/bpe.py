@@ -27,9 +27,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import arrow_schema, batches, kept, texts
+from skein.llm.common import arrow_schema, batches, bounded_batches, kept, texts
 
-REMEMBERED = 600_000
+REMEMBERED = 400_000
 NO_PARENT = 1 << 60
 #: Characters at which str.split cuts though they are no white space for the tokenizer.
 SPLIT_ONLY = "\x1c\x1d\x1e\x1f"
@@ -281,6 +281,7 @@ def encode_table(docs: DataFrame, spec_text: str, key: str = "doc_id", text: str
 
     spec_text is the tokenizer file's JSON, a fixed vocabulary that doesn't grow with the data.
     """
+    bounded_batches(docs.sparkSession)
     spec = docs.sparkSession.sparkContext.broadcast(spec_text)
     ddl = "row_key long, n_tokens long, " + ", ".join(f"{x} string" for x in outputs)
 

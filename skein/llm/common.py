@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bounded_batches(spark: SparkSession, most_bytes: int = 8 << 20) -> None:
+    """Batches that go to Python hold so many bytes at most, and not only a number of rows, which may be long."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most_bytes))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir, which every executor sees; a temporary
     one only where the session names none (local tests)."""
@@ -64,13 +72,39 @@ def forget(*frames: DataFrame) -> None:
 
 
 def kept(name: str, make: Callable):
-    """A value that a Python worker keeps between tasks, made on first use."""
+    """A value that a Python worker keeps between tasks, made on first use.
+
+    Only the last one stays, so that workers don't gather the caches of all steps they have run.
+    """
     held = sys.__dict__.setdefault("_skein_kept", {})
     if name not in held:
+        held.clear()
+        give_back()
         held[name] = make()
     return held[name]
 
 
+def give_back() -> None:
+    """Return a worker's freed memory to the system, where its C library can."""
+    gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
+def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 1_500_000) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch whose texts have about so many bytes, one row at least."""
+    start = size = 0
+    for i, n in enumerate(pc.binary_length(batch.column(column)).to_pylist()):
+        if size and size + (n or 0) > most_bytes:
+            yield batch.slice(start, i - start)
+            start, size = i, 0
+        size += n or 0
+    if start < batch.num_rows:
+        yield batch.slice(start)
+
+
 def held_out(doc_id: Column, parts: int) -> Column:
     """Whether crc32 of the id as text leaves 2 when divided by parts."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % parts == 2, F.lit(False))

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import arrow_schema, batches, kept, texts
+from skein.llm.common import arrow_schema, batches, bounded_batches, kept, texts
 
 MIN_MATCH = 5
 THRESHOLD = 0.5
@@ -189,6 +189,7 @@ class Items:
 def item_blocks(benchmark: DataFrame) -> list:
     """The test set as broadcast blocks of (item_id, text), each of about BLOCK_CHARS at most."""
     spark = benchmark.sparkSession
+    bounded_batches(spark)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("item_text")).where("item_id IS NOT NULL AND item_text IS NOT NULL")
     size = items.agg(F.sum(F.length("item_text")).alias("n")).first().n or 0
     blocks = max(1, -(-size // BLOCK_CHARS))

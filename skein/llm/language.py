@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skein.llm.common import arrow_schema, batches, kept, texts
+from skein.llm.common import arrow_schema, batches, bounded_batches, kept, slices, texts
 
 SAMPLE_DOCS = 150
 SAMPLE_WORDS = 300
@@ -37,8 +37,7 @@ LEXICON = 1 << 14
 EPOCHS = 4
 RATE = 0.2
 SWITCHED = 12
-REMEMBERED = 600_000
-STEP_DOCS = 2048
+REMEMBERED = 400_000
 LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}'’]*")
 UNKNOWN = "und"
 
@@ -166,7 +165,7 @@ class Labeller:
     def __init__(self, model: dict):
         self.labels, self.weight, self.moved = model["labels"], model["weight"], model["moved"]
         self.known: dict[str, int] = {}
-        self.scores = np.zeros((1024, max(1, len(self.labels))))
+        self.scores = np.zeros((1024, max(1, len(self.labels))), np.float32)
 
     def _learn(self, words: set[str]) -> None:
         if len(self.known) + len(words) > REMEMBERED:
@@ -176,7 +175,7 @@ class Labeller:
             return
         need = len(self.known) + len(fresh)
         if need > len(self.scores):
-            grown = np.zeros((max(need, 2 * len(self.scores)), self.scores.shape[1]))
+            grown = np.zeros((max(need, 2 * len(self.scores)), self.scores.shape[1]), np.float32)
             grown[: len(self.scores)] = self.scores
             self.scores = grown
         base = len(self.known)
@@ -202,7 +201,7 @@ class Labeller:
         except KeyError:
             self._learn(set(flat))
             ids = [self.known[w] for w in flat]
-        post, _, _ = forward_backward(self.scores[ids], self.moved, lengths)
+        post, _, _ = forward_backward(self.scores[ids].astype(np.float64), self.moved, lengths)
         owner = np.repeat(np.arange(len(documents)), lengths)
         share = np.stack([np.bincount(owner, post[:, k], len(documents)) for k in range(len(self.labels))], axis=1)
         for i in np.flatnonzero(lengths):
@@ -213,14 +212,14 @@ class Labeller:
 
 def identify(docs: DataFrame, model: dict, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, lang_pred, score) of every row. The model's size is fixed by its feature buckets."""
+    bounded_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     ddl = "row_key long, lang_pred string, score double"
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema, labeller = arrow_schema(ddl), kept(f"crf-{sent._path}", lambda: Labeller(sent.value))
         for batch in it:
-            for at in range(0, batch.num_rows, STEP_DOCS):
-                part = batch.slice(at, STEP_DOCS)
+            for part in slices(batch, "row_text"):
                 preds, scores = labeller.predict(list(texts(part, "row_text")))
                 yield batches({"row_key": part.column("row_key"), "lang_pred": preds, "score": scores}, schema)
 
@@ -229,14 +228,14 @@ def identify(docs: DataFrame, model: dict, key: str = "doc_id", text: str = "tex
 
 def accepted(docs: DataFrame, model: dict, least: float, text: str = "text") -> DataFrame:
     """The rows, with all their columns, that have a language whose share is at least this."""
+    bounded_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = kept(f"crf-{sent._path}", lambda: Labeller(sent.value))
         for batch in it:
-            for at in range(0, batch.num_rows, STEP_DOCS):
-                part = batch.slice(at, STEP_DOCS)
+            for part in slices(batch, text):
                 preds, scores = labeller.predict(list(texts(part, text)))
                 yield part.filter(pa.array([p != UNKNOWN and s >= least for p, s in zip(preds, scores, strict=True)], pa.bool_()))
 

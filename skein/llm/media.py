@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import arrow_schema, batches, texts
+from skein.llm.common import arrow_schema, batches, bounded_batches, texts
 
 WIDTH = 64
 STRIP = 4096
@@ -168,6 +168,7 @@ def payload_of(text: str | None) -> tuple[bytes, int]:
 
 def store(texts_df: DataFrame, key: str = "doc_id", text: str = "text", fmt: str = "pgm") -> DataFrame:
     """Texts as images in a binary column: (key, n_bytes, media)."""
+    bounded_batches(texts_df.sparkSession)
     write = {"pgm": to_pgm, "bmp": to_bmp}[fmt]
     ddl = "row_key long, n_bytes long, media binary"
 

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import arrow_schema, batches, kept, stash, texts
+from skein.llm.common import arrow_schema, batches, bounded_batches, kept, stash, texts
 
 BUCKETS = 1 << 15
 TARGET_DOCS = 20_000
@@ -103,6 +103,7 @@ def target_ids(labels: DataFrame) -> list[int]:
 def weigh(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, n_grams, log_weight) of every document."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     ids = spark.createDataFrame([(i,) for i in target_ids(labels)], "target_id long")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("row_text"))
     marked = rows.join(F.broadcast(ids), rows["doc_id"] == ids["target_id"], "left").select("row_text", F.col("target_id").isNotNull().alias("target"))

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import arrow_schema, batches, stash
+from skein.llm.common import arrow_schema, batches, bounded_batches, kept, stash
 from skein.llm.links import components
 
 BITS = 64
@@ -37,7 +37,7 @@ BUCKETS = 64
 #: Fingerprints that one bucket may hold (8 bytes each); beyond, there are more buckets.
 BUCKET_PRINTS = 32_000_000
 #: Variants made at a time in a bucket.
-PASS_VARIANTS = 4_000_000
+PASS_VARIANTS = 2_000_000
 PIECE = 500_000
 
 
@@ -61,10 +61,12 @@ def fingerprint(text: str, words: int) -> int:
 
 def fingerprints(docs: DataFrame, words: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, print) of every row; print is the 64 bits as a signed long."""
+    bounded_batches(docs.sparkSession)
     ddl = "doc_id long, print long"
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = arrow_schema(ddl)
+        kept("simhash", dict)
         for batch in it:
             found = [fingerprint(x or "", words) for x in batch.column("row_text").to_pylist()]
             yield batches({"doc_id": batch.column("doc_id"), "print": found}, schema)
@@ -170,6 +172,7 @@ def ball_links(prints: DataFrame, radius: int) -> DataFrame:
 
     def meet(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema, held = arrow_schema("a long, b long"), {}
+        kept("simhash", dict)
         for batch in it:
             for bucket, blob in zip(batch.column("bucket").to_pylist(), batch.column("blob"), strict=True):
                 held.setdefault(bucket, []).append(np.frombuffer(blob.as_buffer(), np.uint64).copy())

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import arrow_schema, batches, stash, texts
+from skein.llm.common import arrow_schema, batches, bounded_batches, kept, stash, texts
 
 MIN_SENTENCES = 2
 MIN_WORDS = 12
@@ -62,10 +62,12 @@ def span_hashes(parts: list[str]) -> list[tuple[int, int, int]]:
 
 def all_spans(docs: DataFrame) -> DataFrame:
     """(h, doc_id, version, at, n): the spans of every document; version is a hash of its text."""
+    bounded_batches(docs.sparkSession)
     ddl = "h long, doc_id long, version long, at int, n int"
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = arrow_schema(ddl)
+        kept("spans", dict)
         for batch in it:
             for start in range(0, batch.num_rows, 1000):
                 part = batch.slice(start, 1000)
@@ -115,6 +117,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     names = [f.name for f in schema]
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept("spans", dict)
         for batch in it:
             found, n, lost = [], [], []
             for x, spans in zip(batch.column("text").to_pylist(), batch.column("skein_spans").to_pylist(), strict=True):

@@ -36,7 +36,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import arrow_schema, batches, fresh, stash
+from skein.llm.common import arrow_schema, batches, bounded_batches, fresh, stash
 
 FILE_BYTES = 64 << 20
 BLOCK_LINES = 3000
@@ -284,6 +284,7 @@ def archive(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """Write pages to archives, index them, and read every capture back through the index:
     (page_id, payload_bytes, payload_digest, record_type, refers_to)."""
     spark = pages.sparkSession
+    bounded_batches(spark)
     archives, index = fresh(spark, "warc"), fresh(spark, "cdx")
     captures = write_archives(mark_revisits(pages, least_bytes), archives)
     directory = write_index(captures, index)
