@@ -35,10 +35,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import arrow_schema, batches, forget, kept, stash, texts
+from skein.llm.common import arrow_schema, batches, bounded_batches, forget, kept, stash, texts
 
 BURN_IN, SAMPLES = 1, 2
-CHUNK_TOKENS = 2_000_000
+CHUNK_TOKENS = 4_500_000
 PAIR_TOKENS, WORD_TOKENS = 3_000_000, 6_000_000
 EXACT = 32
 STRENGTH = 1.0
@@ -73,6 +73,25 @@ def read(blob: bytes | None, kind: np.dtype) -> np.ndarray:
     return np.frombuffer(blob or b"", kind)
 
 
+def planes(keys: np.ndarray) -> np.ndarray:
+    """Sorted hashes byte by byte, the highest first: neighbours share those, so they compress."""
+    return keys.astype(">u8").view(np.uint8).reshape(-1, 8).T
+
+
+def unplaned(blob: bytes | None) -> np.ndarray:
+    return np.ascontiguousarray(read(blob, np.dtype(np.uint8)).reshape(8, -1).T).view(">u8").ravel().astype(U8)
+
+
+def narrow(x: np.ndarray) -> np.ndarray:
+    """Small counts or places in two bytes, behind a mark of their width."""
+    kind = np.dtype("<u2") if not len(x) or x.max() < 1 << 16 else U4
+    return np.concatenate([np.array([kind.itemsize], np.uint8), x.astype(kind).view(np.uint8)])
+
+
+def wide(blob: bytes) -> np.ndarray:
+    return np.frombuffer(blob, np.dtype(f"<u{blob[0]}"), offset=1).astype(np.int64)
+
+
 # --- the corpus as codes -----------------------------------------------------
 
 CHUNK = "chunk long, n long, ids binary, lengths binary, held binary, words binary, codes binary"
@@ -89,8 +108,8 @@ def code_corpus(docs: DataFrame) -> DataFrame:
             flat = np.concatenate([x for _, _, x in parts])
             words, codes = np.unique(flat, return_inverse=True)
             ids = np.array([[i or 0 for i, _, _ in parts], [i is not None for i, _, _ in parts]], I8)
-            out = [ids, np.array([len(x) for _, _, x in parts], U4), np.array([h for _, h, _ in parts], np.uint8), words.astype(U8), codes.astype(U4)]
-            return batches({"chunk": [chunk], "n": [size]} | {k: [v.tobytes()] for k, v in zip(schema.names[2:], out, strict=True)}, schema)
+            out = [ids, np.array([len(x) for _, _, x in parts], U4), np.array([h for _, h, _ in parts], np.uint8), planes(words), codes.astype(U4)]
+            return batches({"chunk": [chunk], "n": [size]} | {k: [np.ascontiguousarray(v).tobytes()] for k, v in zip(schema.names[2:], out, strict=True)}, schema)
 
         for batch in it:
             for doc, held, x in zip(batch.column("doc").to_pylist(), batch.column("held").to_pylist(), texts(batch, "row_text"), strict=True):
@@ -120,22 +139,38 @@ class Chunk:
 
     def __init__(self, lengths: bytes, held: bytes, words: bytes, codes: bytes):
         self.lengths, self.held = read(lengths, U4).astype(np.int64), read(held, np.dtype(np.uint8)).astype(bool)
-        self.words, self.codes = read(words, U8), read(codes, U4).astype(np.int64)
-        self.owner = np.repeat(np.arange(len(self.lengths)), self.lengths)
-        self.train = ~self.held[self.owner]
+        self.words, self.codes = unplaned(words), read(codes, U4)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+
+    def train(self) -> np.ndarray:
+        """Whether each token is in training."""
+        return np.repeat(~self.held, self.lengths)
 
     def word_bucket(self, buckets: int) -> np.ndarray:
         return bucket_of(self.words, buckets)
 
-    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Codes of the contexts and words of distinct pairs, their count in training, and each token's pair."""
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct pairs as context code times words plus word code, in order; and each token's pair."""
         end = int(np.searchsorted(self.words, np.uint64(END)))
-        before = np.empty_like(self.codes)
-        before[1:] = self.codes[:-1]
-        before[np.cumsum(self.lengths) - self.lengths] = end
-        both, of_token = np.unique(before * len(self.words) + self.codes, return_inverse=True)
-        n = np.bincount(of_token[self.train], minlength=len(both))
-        return both // len(self.words), both % len(self.words), n, of_token
+        both = np.empty(len(self.codes), np.int64)
+        both[1:] = self.codes[:-1]
+        both[self.starts] = end
+        both *= len(self.words)
+        both += self.codes
+        return np.unique(both), both
+
+    def places(self, distinct: np.ndarray, both: np.ndarray) -> Iterator[tuple[slice, np.ndarray]]:
+        """Where each token's pair is among the distinct ones, in parts."""
+        for at in range(0, len(both), 500_000):
+            part = slice(at, at + 500_000)
+            yield part, np.searchsorted(distinct, both[part])
+
+    def pair_counts(self, distinct: np.ndarray, both: np.ndarray) -> np.ndarray:
+        """How often each distinct pair occurs in training."""
+        n, train = np.zeros(len(distinct), np.int64), self.train()
+        for part, place in self.places(distinct, both):
+            n += np.bincount(place[train[part]], minlength=len(distinct))
+        return n
 
     def pair_bucket(self, u: np.ndarray, w: np.ndarray, buckets: int) -> np.ndarray:
         return bucket_of(self.words[u] * np.uint64(0x9E3779B97F4A7C15) ^ self.words[w], buckets)
@@ -162,8 +197,8 @@ def ask_words(chunks: DataFrame, buckets: int) -> DataFrame:
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             for number, chunk in chunks_of(batch):
-                n = np.bincount(chunk.codes[chunk.train], minlength=len(chunk.words))
-                yield from emit([row("ask", k, number, chunk.words[at], n[at].astype(U4)) for k, at in enumerate(by_bucket(chunk.word_bucket(buckets), buckets)) if len(at)])
+                n = np.bincount(chunk.codes[chunk.train()], minlength=len(chunk.words))
+                yield from emit([row("ask", k, number, planes(chunk.words[at]), narrow(n[at])) for k, at in enumerate(by_bucket(chunk.word_bucket(buckets), buckets)) if len(at)])
 
     return chunks.select("chunk", "lengths", "held", "words", "codes").mapInArrow(run, ROW)
 
@@ -174,12 +209,16 @@ def ask_pairs(chunks: DataFrame, buckets: int) -> DataFrame:
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             for number, chunk in chunks_of(batch):
-                u, w, n, _ = chunk.pairs()
+                distinct, both = chunk.pairs()
+                n = chunk.pair_counts(distinct, both)
+                u, w = np.divmod(distinct, len(chunk.words))
+                del distinct, both
                 out = []
                 for k, at in enumerate(by_bucket(chunk.pair_bucket(u, w, buckets), buckets)):
                     if len(at):
+                        used, place = np.unique(np.concatenate([u[at], w[at]]), return_inverse=True)
                         first = np.flatnonzero(np.diff(u[at], prepend=-1))  # pairs of a context stand together
-                        out.append(row("ask", k, number, chunk.words[u[at][first]], np.diff(first, append=len(at)).astype(U4), chunk.words[w[at]], n[at].astype(U4)))
+                        out.append(row("ask", k, number, planes(chunk.words[used]), narrow(place[first]), narrow(np.diff(first, append=len(at))), narrow(place[len(at) :]), narrow(n[at])))
                 yield from emit(out)
 
     return chunks.select("chunk", "lengths", "held", "words", "codes").mapInArrow(run, ROW)
@@ -195,7 +234,7 @@ def sums(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def to_words(kind: str, src: int, buckets: int, keys: np.ndarray, *values: np.ndarray) -> list[dict]:
-    return [row(kind, k, src, keys[at], *(v[at].astype(I8) for v in values)) for k, at in enumerate(by_bucket(bucket_of(keys, buckets), buckets)) if len(at)]
+    return [row(kind, k, src, planes(keys[at]), *(narrow(v[at]) for v in values)) for k, at in enumerate(by_bucket(bucket_of(keys, buckets), buckets)) if len(at)]
 
 
 def build(asked: DataFrame, buckets: int, word_buckets: int) -> DataFrame:
@@ -204,12 +243,19 @@ def build(asked: DataFrame, buckets: int, word_buckets: int) -> DataFrame:
     (pairs with one customer, summed by context and by word, for the words' buckets) and totals."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept("pitman-yor", dict)
         own, rows = TaskContext.get().partitionId(), received(it).get("ask", [])
         if not rows:
             return
-        size = [len(r[3]) // 8 for r in rows]
-        u = np.concatenate([np.repeat(read(r[1], U8), read(r[2], U4)) for r in rows])
-        w, n = np.concatenate([read(r[3], U8) for r in rows]), np.concatenate([read(r[4], U4) for r in rows]).astype(np.int64)
+        u, w, n, size = [], [], [], []
+        for i, (_, names, heads, runs, places, counts) in enumerate(rows):
+            names = unplaned(names)
+            u.append(names[np.repeat(wide(heads), wide(runs))])
+            w.append(names[wide(places)])
+            n.append(wide(counts))
+            size.append(len(n[-1]))
+            rows[i] = rows[i][:1]
+        u, w, n = np.concatenate(u), np.concatenate(w), np.concatenate(n)
         order = np.lexsort((w, u))
         new = np.concatenate([[True], (np.diff(u[order]) != 0) | (np.diff(w[order]) != 0)])
         of_row = np.empty(len(order), np.int64)
@@ -219,7 +265,7 @@ def build(asked: DataFrame, buckets: int, word_buckets: int) -> DataFrame:
         many = count >= 2
         code = np.minimum(count, 1)
         code[many] = 2 + np.arange(many.sum())
-        out = [row("code", own, r[0], x.astype(U4)) for r, x in zip(rows, np.split(code[of_row], np.cumsum(size)[:-1]), strict=True)]
+        out = [row("code", own, r[0], narrow(x)) for r, x in zip(rows, np.split(code[of_row], np.cumsum(size)[:-1]), strict=True)]
         keys, where = np.unique(np.concatenate([u[many], w[many]]), return_inverse=True)
         out.append(row("state", own, 0, keys, where.astype(U4), count[many].astype(U4), np.ones(many.sum(), U4)))
         once = count == 1
@@ -288,7 +334,7 @@ def sweep(state: DataFrame, replies: DataFrame | None, model: dict, buckets: int
                 both = np.concatenate([np.bincount(where[i * n : i * n + n], t, len(keys)) for t in drawn for i in (0, 1)]).reshape(-1, len(keys)).astype(I8)
                 for k, at in enumerate(by_bucket(bucket_of(keys, word_buckets), word_buckets)):
                     if len(at):
-                        out.append(row("multi", k, own, keys[at], np.ascontiguousarray(both[:, at])))
+                        out.append(row("multi", k, own, planes(keys[at]), narrow(both[:, at].ravel())))
             yield from emit(out)
 
     rows = state if replies is None else state.unionByName(replies)
@@ -306,13 +352,13 @@ def word_table(asked: DataFrame, singles: DataFrame, word_buckets: int) -> DataF
         asks, single = rows.get("ask", []), rows.get("single", [])
         if not asks:
             return
-        keys, count = sums(np.concatenate([read(r[1], U8) for r in asks]), np.concatenate([read(r[2], U4) for r in asks]))
+        keys, count = sums(np.concatenate([unplaned(r[1]) for r in asks]), np.concatenate([wide(r[2]) for r in asks]))
         keys, count = keys[count > 0], count[count > 0]
         as_u, as_w = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
         for r in single:
-            at = np.searchsorted(keys, read(r[1], U8))
-            as_u[at] += read(r[2], I8)
-            as_w[at] += read(r[3], I8)
+            at = np.searchsorted(keys, unplaned(r[1]))
+            as_u[at] += wide(r[2])
+            as_w[at] += wide(r[3])
         yield from emit([row("word", own, 0, keys, count.astype(I8), as_u, as_w), row("total", 0, own, np.array([len(keys), count.sum()], I8))])
 
     return asked.unionByName(singles).repartitionById(word_buckets, "dest").mapInArrow(run, ROW)
@@ -324,8 +370,8 @@ def root_tables(rows: dict[str, list[tuple]], model: dict, turn: int, own: int)
     keys, count, as_u, as_w = read(word[0][1], U8), read(word[0][2], I8), read(word[0][3], I8), read(word[0][4], I8)
     draws: list[list[np.ndarray]] = []
     for r in rows.get("multi", []):
-        names = read(r[1], U8)
-        values, at = read(r[2], I8).reshape(-1, len(names)), np.searchsorted(keys, names)
+        names = unplaned(r[1])
+        values, at = wide(r[2]).reshape(-1, len(names)), np.searchsorted(keys, names)
         while len(draws) < len(values) // 2:
             draws.append([as_u.copy(), as_w.copy()])
         for i, v in enumerate(values):
@@ -350,8 +396,8 @@ def answer_sweep(words: DataFrame, multi: DataFrame, model: dict, word_buckets:
         tables, customers, at_root = draws[-1]
         out = [row("total", 0, own, np.array([customers.sum(), at_root.sum(), (customers == 1).sum(), (customers == 2).sum()], I8))]
         for r in rows.get("multi", []):
-            at = np.searchsorted(keys, read(r[1], U8))
-            out.append(row("seats", r[0], own, tables[at].astype(I8), customers[at].astype(I8), at_root[at].astype(I8)))
+            at = np.searchsorted(keys, unplaned(r[1]))
+            out.append(row("seats", r[0], own, narrow(tables[at]), narrow(customers[at]), narrow(at_root[at])))
         yield from emit(out)
 
     return words.unionByName(multi).repartitionById(word_buckets, "dest").mapInArrow(run, ROW)
@@ -369,7 +415,7 @@ def priced(seats: DataFrame, model: dict) -> DataFrame:
         for batch in it:
             out = []
             for dest, src, a, b, c in zip(*(batch.column(x).to_pylist() for x in ("dest", "src", "a", "b", "c")), strict=True):
-                out.append(row("reply", dest, src, read(a, I8), root_probability(read(b, I8), read(c, I8), model)))
+                out.append(row("reply", dest, src, wide(a), root_probability(wide(b), wide(c), model)))
             yield from emit(out)
 
     return seats.mapInArrow(run, ROW)
@@ -385,10 +431,10 @@ def answer_chunks(words: DataFrame, multi: DataFrame, asked: DataFrame, word_buc
         yield from emit([row("total", 0, own, totals)])
         held = np.stack([count, *[x for d in draws for x in d]])
         for src, names, *_ in rows.get("ask", []):
-            names = read(names, U8)
+            names = unplaned(names)
             at = np.minimum(np.searchsorted(keys, names), max(0, len(keys) - 1))
             found = held[:, at] * (keys[at] == names) if len(keys) else np.zeros((len(held), len(names)), np.int64)
-            yield from emit([row("words", own, src, found.astype(U4))])
+            yield from emit([row("words", own, src, narrow(found.ravel()))])
 
     return words.unionByName(multi).unionByName(asked).repartitionById(word_buckets, "dest").mapInArrow(run, ROW)
 
@@ -404,7 +450,7 @@ def answer_pairs(state: DataFrame, codes: DataFrame, buckets: int) -> DataFrame:
             once = np.array([[0, 1]] * (1 + len(drawn)), U4)
             held = np.concatenate([once, np.concatenate([count[None], drawn])], axis=1)
             for src, code, *_ in rows.get("code", []):
-                yield from emit([row("pairs", own, src, held[:, read(code, U4)])])
+                yield from emit([row("pairs", own, src, narrow(held[:, wide(code)].ravel()))])
 
     return state.unionByName(codes).repartitionById(buckets, "dest").mapInArrow(run, ROW)
 
@@ -414,29 +460,35 @@ def answer_pairs(state: DataFrame, codes: DataFrame, buckets: int) -> DataFrame:
 
 def score_chunk(chunk: Chunk, words: dict[int, bytes], pairs: dict[int, bytes], model: dict, buckets: int, word_buckets: int) -> dict[str, np.ndarray]:
     """Of each document of a chunk: tokens, known tokens and both scores."""
-    n_words = len(chunk.words)
-    found: np.ndarray | None = None
-    for k, at in enumerate(by_bucket(chunk.word_bucket(word_buckets), word_buckets)):
-        if len(at):
-            values = read(words[k], U4).reshape(-1, len(at))
-            found = np.zeros((len(values), n_words), np.int64) if found is None else found
-            found[:, at] = values
-    u, w, _, of_token = chunk.pairs()
-    seen: np.ndarray | None = None
-    for k, at in enumerate(by_bucket(chunk.pair_bucket(u, w, buckets), buckets)):
-        if len(at):
-            values = read(pairs[k], U4).reshape(-1, len(at))
-            seen = np.zeros((len(values), len(u)), np.int64) if seen is None else seen
-            seen[:, at] = values
-    count, prob = found[0], np.zeros(len(u))
+    found = aligned(words, chunk.word_bucket(word_buckets), word_buckets)
+    distinct, both = chunk.pairs()
+    u, w = np.divmod(distinct, len(chunk.words))
+    seen = aligned(pairs, chunk.pair_bucket(u, w, buckets), buckets)
+    count, prob = found[0], np.zeros(len(distinct))
     draws = len(model["roots"])
     for s, (customers, tables) in enumerate(model["roots"]):
         base = root_probability(found[2 + 3 * s], found[3 + 3 * s], model | {"root_customers": customers, "root_tables": tables})
         top = np.maximum(seen[0] - model["d1"] * seen[min(1 + s, len(seen) - 1)], 0) + (STRENGTH + model["d1"] * found[1 + 3 * s][u]) * base[w]
         prob += np.where(count[u] > 0, top / (STRENGTH + count[u]), base[w]) / draws
-    flat = np.log10((count + 1) / (model["tokens"] + model["words"] + 1))
-    add = lambda x: np.bincount(chunk.owner, x, len(chunk.lengths))
-    return {"n_tokens": chunk.lengths, "n_known": add(count[chunk.codes] > 0).astype(np.int64), "base_score": add(flat[chunk.codes]), "score": add(np.log10(prob)[of_token])}
+    del seen, u, w
+    prob = np.log10(prob)
+    per_token = np.empty(len(both))
+    for part, place in chunk.places(distinct, both):
+        per_token[part] = prob[place]
+    flat = np.log10((count + 1.0) / (model["tokens"] + model["words"] + 1))
+    add = lambda x: np.add.reduceat(x, chunk.starts)  # noqa: E731  every document has a token
+    return {"n_tokens": chunk.lengths, "n_known": add((count > 0)[chunk.codes].astype(np.int64)), "base_score": add(flat[chunk.codes]), "score": add(per_token)}
+
+
+def aligned(replies: dict[int, bytes], bucket: np.ndarray, buckets: int) -> np.ndarray:
+    """The buckets' replies in the order of what was asked for, one row for each value."""
+    out: np.ndarray | None = None
+    for k, at in enumerate(by_bucket(bucket, buckets)):
+        if len(at):
+            values = wide(replies.pop(k)).reshape(-1, len(at))
+            out = np.zeros((len(values), len(bucket)), np.int32) if out is None else out
+            out[:, at] = values
+    return out
 
 
 def score(chunks: DataFrame, words: DataFrame, pairs: DataFrame, model: dict, buckets: int, word_buckets: int, tasks: int) -> DataFrame:
@@ -445,6 +497,7 @@ def score(chunks: DataFrame, words: DataFrame, pairs: DataFrame, model: dict, bu
     ddl = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept("pitman-yor", dict)
         schema, now, held = arrow_schema(ddl), None, {"words": {}, "pairs": {}, "chunk": {}}
 
         def done() -> Iterator[pa.RecordBatch]:
@@ -489,6 +542,7 @@ def score_documents(docs: DataFrame, held_out, key: str = "doc_id", text: str =
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row,
     from a model of the rows where held_out (a column) is false."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     rows = docs.select(F.col(key).cast("long").alias("doc"), held_out.alias("held"), F.col(text).alias("row_text"))
     chunks = stash(code_corpus(rows), "chunks")
     size = chunks.agg(F.sum("n").alias("tokens"), F.count("*").alias("chunks")).first()
@@ -496,6 +550,7 @@ def score_documents(docs: DataFrame, held_out, key: str = "doc_id", text: str =
     buckets, word_buckets = max(12, -(-tokens // PAIR_TOKENS)), max(8, -(-tokens // WORD_TOKENS))
     built = stash(build(ask_pairs(chunks, buckets), buckets, word_buckets), "pairs", by="kind")
     of = lambda df, kind: df.where(F.col("kind") == kind)
+    tidy(spark)  # the shuffle of pairs is the largest
     once, twice = totals(built, 2).tolist()
     asked = ask_words(chunks, word_buckets)
     words = stash(word_table(asked, of(built, "single"), word_buckets), "words", by="kind")
