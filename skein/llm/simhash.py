@@ -209,7 +209,8 @@ def one_of_each(docs: DataFrame, words: int = 5, radius: int = 4) -> DataFrame:
     prints = stash(fingerprints(docs.where("doc_id IS NOT NULL"), words), "doc-prints")
     best = groups(prints, radius).where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("copies"))
     best = stash(best.select(F.col("doc_id").alias("skein_id"), "copies"), "kept")
-    kept_rows = docs.join(best, docs["doc_id"] == best["skein_id"], "left_semi")
+    # A sort-merge join at every size: the kept ids grow with the documents.
+    kept_rows = docs.join(best.hint("merge"), docs["doc_id"] == best["skein_id"], "left_semi")
     if best.where("copies > 1").limit(1).count():
         kept_rows = kept_rows.dropDuplicates(["doc_id"])
     return kept_rows.unionByName(docs.where("doc_id IS NULL"))
