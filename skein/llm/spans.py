@@ -89,7 +89,8 @@ def all_spans(docs: DataFrame) -> DataFrame:
 def covered_spans(spans: DataFrame) -> DataFrame:
     """The spans that repeat an earlier one: (doc_id, version, at, n)."""
     place = F.struct("doc_id", "version", "at")
-    first = spans.groupBy("h").agg(F.count("*").alias("copies"), F.min(place).alias("place")).where("copies > 1")
+    # Written, so that both sides of the join are plain shuffles and a hash that many share can be split.
+    first = stash(spans.groupBy("h").agg(F.count("*").alias("copies"), F.min(place).alias("place")).where("copies > 1"), "first-spans")
     later = spans.join(first.select("h", "place"), "h").where(place != F.col("place"))
     return later.select("doc_id", "version", "at", "n")
 
