@@ -83,13 +83,17 @@ def unplaned(blob: bytes | None) -> np.ndarray:
 
 
 def narrow(x: np.ndarray) -> np.ndarray:
-    """Small counts or places in two bytes, behind a mark of their width."""
-    kind = np.dtype("<u2") if not len(x) or x.max() < 1 << 16 else U4
-    return np.concatenate([np.array([kind.itemsize], np.uint8), x.astype(kind).view(np.uint8)])
+    """Numbers in the bytes that the largest needs, behind a mark of their width, byte by byte:
+    most are small, so all bytes but the lowest compress to little."""
+    most = int(x.max()) if len(x) else 0
+    width = 1 if most < 1 << 8 else 2 if most < 1 << 16 else 4
+    parts = x.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T
+    return np.concatenate([np.array([width], np.uint8), parts.ravel()])
 
 
 def wide(blob: bytes) -> np.ndarray:
-    return np.frombuffer(blob, np.dtype(f"<u{blob[0]}"), offset=1).astype(np.int64)
+    parts = np.frombuffer(blob, np.uint8, offset=1).reshape(blob[0], -1)
+    return np.ascontiguousarray(parts.T).view(f"<u{blob[0]}").ravel().astype(np.int64)
 
 
 # --- the corpus as codes -----------------------------------------------------
@@ -108,7 +112,7 @@ def code_corpus(docs: DataFrame) -> DataFrame:
             flat = np.concatenate([x for _, _, x in parts])
             words, codes = np.unique(flat, return_inverse=True)
             ids = np.array([[i or 0 for i, _, _ in parts], [i is not None for i, _, _ in parts]], I8)
-            out = [ids, np.array([len(x) for _, _, x in parts], U4), np.array([h for _, h, _ in parts], np.uint8), planes(words), codes.astype(U4)]
+            out = [ids, np.array([len(x) for _, _, x in parts], U4), np.array([h for _, h, _ in parts], np.uint8), planes(words), narrow(codes)]
             return batches({"chunk": [chunk], "n": [size]} | {k: [np.ascontiguousarray(v).tobytes()] for k, v in zip(schema.names[2:], out, strict=True)}, schema)
 
         for batch in it:
@@ -139,7 +143,7 @@ class Chunk:
 
     def __init__(self, lengths: bytes, held: bytes, words: bytes, codes: bytes):
         self.lengths, self.held = read(lengths, U4).astype(np.int64), read(held, np.dtype(np.uint8)).astype(bool)
-        self.words, self.codes = unplaned(words), read(codes, U4)
+        self.words, self.codes = unplaned(words), wide(codes).astype(U4)
         self.starts = np.cumsum(self.lengths) - self.lengths
 
     def train(self) -> np.ndarray:

@@ -89,3 +89,13 @@ def test_empty_table(make_docs):
     assert pitmanyor.score_documents(make_docs([]), F.lit(False)).count() == 0
     only = pitmanyor.score_documents(make_docs([(1, "a b")]), F.lit(True)).first()
     assert only.n_known == 0 and only.train_tokens == 0
+
+
+def test_packed_numbers_come_back():
+    rng = np.random.default_rng(2)
+    for most in (1, 255, 256, 65_535, 65_536, 2**32 - 1):
+        x = np.append(rng.integers(0, most, 1000), most)
+        assert np.array_equal(pitmanyor.wide(pitmanyor.narrow(x).tobytes()), x)
+    assert len(pitmanyor.wide(pitmanyor.narrow(np.zeros(0, int)).tobytes())) == 0
+    keys = np.unique(rng.integers(0, 2**63, 1000, dtype=np.uint64))
+    assert np.array_equal(pitmanyor.unplaned(np.ascontiguousarray(pitmanyor.planes(keys)).tobytes()), keys)
