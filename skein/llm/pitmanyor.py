@@ -271,7 +271,7 @@ def build(asked: DataFrame, buckets: int, word_buckets: int) -> DataFrame:
         code[many] = 2 + np.arange(many.sum())
         out = [row("code", own, r[0], narrow(x)) for r, x in zip(rows, np.split(code[of_row], np.cumsum(size)[:-1]), strict=True)]
         keys, where = np.unique(np.concatenate([u[many], w[many]]), return_inverse=True)
-        out.append(row("state", own, 0, keys, where.astype(U4), count[many].astype(U4), np.ones(many.sum(), U4)))
+        out.append(row("state", own, 0, planes(keys), narrow(where), narrow(count[many]), narrow(np.ones(many.sum(), U4))))
         once = count == 1
         names = np.concatenate([u[once], w[once]])
         side = np.repeat([True, False], once.sum())
@@ -322,9 +322,9 @@ def sweep(state: DataFrame, replies: DataFrame | None, model: dict, buckets: int
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, rows = TaskContext.get().partitionId(), received(it)
         for _, keys, where, count, tables, _ in rows.get("state", []):
-            keys, where, count = read(keys, U8), read(where, U4).astype(np.int64), read(count, U4).astype(np.int64)
+            keys, where, count = unplaned(keys), wide(where), wide(count)
             n = len(count)
-            drawn = read(tables, U4).astype(np.int64).reshape(-1, n) if n else np.zeros((1, 0), np.int64)
+            drawn = wide(tables).reshape(-1, n) if n else np.zeros((1, 0), np.int64)
             if turn and n:
                 seats, prob = np.zeros(len(keys), np.int64), np.zeros(len(keys))
                 for k, at in enumerate(by_bucket(bucket_of(keys, word_buckets), word_buckets)):
@@ -333,7 +333,7 @@ def sweep(state: DataFrame, replies: DataFrame | None, model: dict, buckets: int
                 others = np.maximum(seats[where[:n]] - drawn[-1], 0)
                 now = draw_tables(count, others, prob[where[n:]], model["d1"], STRENGTH, np.random.default_rng([turn, own]))
                 drawn = np.concatenate([drawn[1:] if len(drawn) >= SAMPLES else drawn, now[None]]) if turn > BURN_IN + 1 else now[None]
-            out = [row("state", own, 0, keys, where.astype(U4), count.astype(U4), drawn.astype(U4))]
+            out = [row("state", own, 0, planes(keys), narrow(where), narrow(count), narrow(drawn.ravel()))]
             if n:
                 both = np.concatenate([np.bincount(where[i * n : i * n + n], t, len(keys)) for t in drawn for i in (0, 1)]).reshape(-1, len(keys)).astype(I8)
                 for k, at in enumerate(by_bucket(bucket_of(keys, word_buckets), word_buckets)):
@@ -449,8 +449,8 @@ def answer_pairs(state: DataFrame, codes: DataFrame, buckets: int) -> DataFrame:
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, rows = TaskContext.get().partitionId(), received(it)
         for _, _, _, count, tables, _ in rows.get("state", []):
-            count = read(count, U4)
-            drawn = read(tables, U4).reshape(-1, len(count)) if len(count) else np.zeros((1, 0), U4)
+            count = wide(count)
+            drawn = wide(tables).reshape(-1, len(count)) if len(count) else np.zeros((1, 0), np.int64)
             once = np.array([[0, 1]] * (1 + len(drawn)), U4)
             held = np.concatenate([once, np.concatenate([count[None], drawn])], axis=1)
             for src, code, *_ in rows.get("code", []):
