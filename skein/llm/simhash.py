@@ -13,6 +13,12 @@ a spanning forest in the bucket before they are shuffled again.
 Equal texts have equal fingerprints and are grouped before that, so the size of
 a group of copies does not matter.
 
+Linking by similarity (one_of_each) takes one more step. Texts of Jaccard similarity
+0.8 differ in about 15 of 100 bits, beyond any ball of 64. So a text has FAMILIES
+independent prints of NARROW bits, and balls of each family are joined; a pair has
+to meet in one of them. Pairs that meet are checked by all bits of both and
+then by the exact similarity of their shingles.
+
 Edge cases: null and empty texts have fingerprint zero and are linked like any
 other; fewer words than a shingle give one shingle of all words; the table may
 be empty; doc_id is the only other column that is read.
@@ -39,6 +45,16 @@ BUCKET_PRINTS = 32_000_000
 #: Variants made at a time in a bucket.
 PASS_VARIANTS = 2_000_000
 PIECE = 500_000
+#: Similar texts: independent prints of a text, the bits of each, and those of all together.
+FAMILIES, NARROW = 16, 36
+SKETCH = FAMILIES * NARROW
+#: Sketches of texts of similarity 0.8 differ in 87 bits or so, up to 109 in short texts, of others in 288;
+#: 180 is more than seven standard deviations from both.
+SKETCH_RADIUS = 180
+#: Variants that one bucket of a family makes; beyond, there are more buckets.
+BUCKET_VARIANTS = 1 << 30
+#: Equal variants of which all pairs are listed at once.
+LONG_RUN = 64
 
 
 def fingerprint(text: str, words: int) -> int:
@@ -74,9 +90,9 @@ def fingerprints(docs: DataFrame, words: int, key: str = "doc_id", text: str = "
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("row_text")).mapInArrow(run, ddl)
 
 
-def ball(radius: int) -> np.ndarray:
-    """All masks of at most radius bits."""
-    return np.array([sum(1 << b for b in bits) for k in range(radius + 1) for bits in combinations(range(BITS), k)], np.uint64)
+def ball(radius: int, width: int = BITS) -> np.ndarray:
+    """All masks of at most radius of width bits."""
+    return np.array([sum(1 << b for b in bits) for k in range(radius + 1) for bits in combinations(range(width), k)], np.uint64)
 
 
 class LinearHash:
@@ -202,12 +218,219 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFra
     return groups(prints, radius).select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, words: int = 5, radius: int = 4) -> DataFrame:
-    """The rows, with all their columns, without near-duplicates: of every group the
+def shingles(text: str, words: int) -> np.ndarray:
+    """XXH64 hashes (seed 42) of the distinct word shingles, sorted; none without words."""
+    parts = text.encode().lower().split()
+    found = {xxhash.xxh64_intdigest(b" ".join(parts[i : i + words]), 42) for i in range(max(1, len(parts) - words + 1))} if parts else set()
+    return np.sort(np.fromiter(found, np.uint64, len(found)))
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two sets of shingles; two empty ones are equal."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) + len(b) else 1.0
+
+
+def mixed(hashes: np.ndarray, seed: int) -> np.ndarray:
+    """SplitMix64 of the hashes: other bits of the same shingles."""
+    x = hashes + np.uint64((seed + 1) * 0x9E3779B97F4A7C15 % 2**64)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def sketch(hashes: np.ndarray) -> bytes:
+    """SKETCH majority bits of a set of shingles: FAMILIES prints of NARROW bits one after another."""
+    ones = np.zeros(SKETCH, np.int64)
+    for at in range(0, len(hashes), PIECE):
+        for k in range(SKETCH // BITS):
+            part = mixed(hashes[at : at + PIECE], k).astype("<u8", copy=False).view(np.uint8).reshape(-1, 8)
+            ones[k * BITS : (k + 1) * BITS] += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
+    return np.packbits(ones * 2 > len(hashes), bitorder="little").tobytes()
+
+
+def text_nodes(docs: DataFrame, words: int, sets: bool = False) -> DataFrame:
+    """(doc_id, node, data) of every row: node is a hash of the words, which copies share;
+    data the sketch of the shingles, or with sets their hashes."""
+    bounded_batches(docs.sparkSession)
+    ddl = "doc_id long, node long, data binary"
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = arrow_schema(ddl)
+        kept("simhash", dict)
+        for batch in it:
+            nodes, data = [], []
+            for x in batch.column("row_text").to_pylist():
+                line = b" ".join((x or "").encode().lower().split())
+                nodes.append(xxhash.xxh3_64_intdigest(line) - (1 << 63))
+                own = shingles(x or "", words)
+                data.append(own.tobytes() if sets else sketch(own))
+            yield batches({"doc_id": batch.column("doc_id"), "node": nodes, "data": data}, schema)
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("row_text")).mapInArrow(run, ddl)
+
+
+def narrow_prints(rows: np.ndarray, family: int) -> np.ndarray:
+    """The prints of one family, of sketches as rows of bytes."""
+    bits = np.unpackbits(rows, axis=1, bitorder="little")[:, family * NARROW : (family + 1) * NARROW]
+    wide = np.zeros((len(rows), BITS), np.uint8)
+    wide[:, :NARROW] = bits
+    return np.packbits(wide, axis=1, bitorder="little").view("<u8").ravel().astype(np.uint64)
+
+
+def run_pairs(keys: np.ndarray, at: np.ndarray, label: np.ndarray, whole: bool) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Pairs (i, j) of rows of equal keys and different labels. Unless whole, of more
+    than LONG_RUN equal keys only neighbours are paired; the last value tells whether there were such."""
+    order = np.lexsort((label[at], keys))
+    keys, at = keys[order], at[order]
+    edge = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1], [True])))
+    size = np.diff(edge)
+    start, stop = edge[:-1][size > 1], edge[1:][size > 1]
+    mixed_run = label[at[start]] != label[at[stop - 1]]
+    start, stop = start[mixed_run], stop[mixed_run]
+    long = (stop - start > LONG_RUN) & (not whole)
+    most = np.where(long, 1, stop - start - 1)
+    found_i, found_j, step = [], [], 1
+    while len(start):
+        reach = stop - start - step
+        i = np.repeat(start, reach) + np.arange(reach.sum()) - np.repeat(np.cumsum(reach) - reach, reach)
+        x, y = at[i], at[i + step]
+        apart = label[x] != label[y]
+        found_i.append(np.minimum(x, y)[apart])
+        found_j.append(np.maximum(x, y)[apart])
+        step += 1
+        more = most >= step
+        start, stop, most = start[more], stop[more], most[more]
+    if not found_i:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), bool(long.any())
+    return np.concatenate(found_i), np.concatenate(found_j), bool(long.any())
+
+
+def family_pairs(rows: np.ndarray, label: np.ndarray, family: int, masks: np.ndarray, whole: bool, bits: int, bucket: int) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Pairs of a bucket of one family whose balls meet and whose sketches are near enough."""
+    prints = narrow_prints(rows, family)
+    deal, n, long = LinearHash(32), len(rows), False
+    more = max(0, int(np.ceil(np.log2(max(1.0, n * len(masks) / 2**bits / PASS_VARIANTS)))))
+    keep = (1 << (bits + more)) - 1
+    of_mask, of_print = deal(masks) & keep, deal(prints) & keep
+    order = np.argsort(of_mask, kind="stable")
+    sorted_masks, n_masks = masks[order], np.bincount(of_mask, minlength=keep + 1)
+    first = np.cumsum(n_masks) - n_masks
+    wide = rows.view("<u8")
+    found = [np.zeros(0, np.int64)]
+    for extra in range(1 << more):
+        need = of_print ^ (bucket | extra << bits)
+        count = n_masks[need]
+        at = np.repeat(np.arange(n), count)
+        within = np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count)
+        variants = prints[at] ^ sorted_masks[first[need][at] + within]
+        # Most variants stand alone; only the others are sorted with their labels.
+        order = np.argsort(variants)
+        ordered = variants[order]
+        same = ordered[1:] == ordered[:-1]
+        met = order[np.concatenate((same, [False])) | np.concatenate(([False], same))] if len(at) else order
+        i, j, some = run_pairs(variants[met], at[met], label, whole)
+        long |= some
+        pairs = np.unique(i * n + j)
+        for k in range(0, len(pairs), PIECE):
+            part = pairs[k : k + PIECE]
+            near = np.bitwise_count(wide[part // n] ^ wide[part % n]).sum(axis=1, dtype=np.int64) <= SKETCH_RADIUS
+            found.append(part[near])
+    pairs = np.unique(np.concatenate(found))
+    return pairs // max(n, 1), pairs % max(n, 1), long
+
+
+def near_pairs(nodes: DataFrame, radius: int, whole: bool) -> DataFrame:
+    """(a, b, long): pairs of nodes of a table (node, data, label) that have different labels
+    and whose balls meet in one family at least; rows with long set and no pair tell of long runs."""
+    masks = ball(radius // 2, NARROW)
+    buckets = 1
+    n = nodes.count()
+    while n * len(masks) / buckets > BUCKET_VARIANTS:
+        buckets *= 2
+    bits = buckets.bit_length() - 1
+
+    def send(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema, deal = arrow_schema("bucket int, blob binary"), LinearHash(32)
+        of_mask = np.unique(deal(masks) & (buckets - 1))
+        for batch in it:
+            ids = batch.column("node").to_numpy(zero_copy_only=False).astype("<i8")
+            labels = batch.column("label").to_numpy(zero_copy_only=False).astype("<i8")
+            data = np.frombuffer(b"".join(batch.column("data").to_pylist()), np.uint8).reshape(len(ids), -1)
+            rows = np.concatenate((ids.view(np.uint8).reshape(-1, 8), labels.view(np.uint8).reshape(-1, 8), data), axis=1)
+            for family in range(FAMILIES):
+                home = deal(narrow_prints(data, family)) & (buckets - 1)
+                for bucket in range(buckets):
+                    own = rows if len(of_mask) == buckets else rows[np.isin(home ^ bucket, of_mask)]
+                    if len(own):
+                        yield batches({"bucket": [family * buckets + bucket], "blob": [own.tobytes()]}, schema)
+
+    def meet(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema, held = arrow_schema("a long, b long, long boolean"), {}
+        kept("simhash", dict)
+        for batch in it:
+            for bucket, blob in zip(batch.column("bucket").to_pylist(), batch.column("blob"), strict=True):
+                held.setdefault(bucket, []).append(np.frombuffer(blob.as_buffer(), np.uint8).reshape(-1, 16 + SKETCH // 8).copy())
+        for bucket in sorted(held):
+            rows = np.concatenate(held.pop(bucket))
+            ids, labels = (np.ascontiguousarray(rows[:, k : k + 8]).view("<i8").ravel() for k in (0, 8))
+            i, j, long = family_pairs(np.ascontiguousarray(rows[:, 16:]), labels, bucket // buckets, masks, whole, bits, bucket % buckets)
+            if long:
+                yield batches({"a": [0], "b": [0], "long": [True]}, schema)
+            for at in range(0, len(i), 100_000):
+                x, y = ids[i[at : at + 100_000]], ids[j[at : at + 100_000]]
+                yield batches({"a": np.minimum(x, y), "b": np.maximum(x, y), "long": np.zeros(len(x), bool)}, schema)
+
+    sent = nodes.select("node", "label", "data").mapInArrow(send, "bucket int, blob binary")
+    return sent.repartitionById(FAMILIES * buckets, "bucket").mapInArrow(meet, "a long, b long, long boolean")
+
+
+def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int, least: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose shingles have at least that Jaccard similarity."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    ids = nodes.join(ends.hint("merge"), "node").select(F.col("least").alias("skein_id")).distinct()
+    rows = docs.join(ids.hint("merge"), docs["doc_id"].cast("long") == ids["skein_id"], "left_semi")
+    sets = stash(text_nodes(rows, words, sets=True).groupBy("node").agg(F.first("data").alias("data")), "near-texts")
+    one, two = sets.select(F.col("node").alias("a"), F.col("data").alias("x")), sets.select(F.col("node").alias("b"), F.col("data").alias("y"))
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = arrow_schema("a long, b long")
+        kept("simhash", dict)
+        for batch in it:
+            x, y = batch.column("x"), batch.column("y")
+            near = [similarity(np.frombuffer(x[i].as_buffer(), np.uint64), np.frombuffer(y[i].as_buffer(), np.uint64)) >= least for i in range(batch.num_rows)]
+            held = batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
+            yield batches({"a": held.column("a"), "b": held.column("b")}, schema)
+
+    return pairs.join(one.hint("merge"), "a").join(two.hint("merge"), "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def similar_groups(docs: DataFrame, words: int, radius: int, least: float) -> DataFrame:
+    """(doc_id, component_id) of rows with a doc_id: the smallest doc_id that links of the
+    similarity reach. The links of a long run of equal variants are first those of
+    neighbours; what they leave apart is then met whole, so that a large group of copies
+    does not cost all its pairs."""
+    prints = stash(text_nodes(docs, words), "doc-sketches")
+    nodes = stash(prints.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("data").alias("data")), "sketches")
+    found = stash(near_pairs(nodes.withColumn("label", F.col("node")), radius, False), "near-pairs")
+    links = stash(verified(docs, nodes, found.where("NOT long").select("a", "b").distinct(), words, least), "near-links")
+    roots = components(links)
+    if found.where("long").limit(1).count():
+        marked = stash(nodes.join(roots, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root"), "sketches")
+        rest = stash(near_pairs(marked, radius, True).where("NOT long").select("a", "b").distinct(), "near-pairs")
+        roots = components(links.unionByName(verified(docs, nodes, rest, words, least)))
+    marked = stash(nodes.select("node", "least").join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node")), "roots")
+    names = marked.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = marked.join(names.hint("merge"), "root").select("node", "component_id")
+    return prints.select("doc_id", "node").join(named.hint("merge"), "node").select("doc_id", "component_id")
+
+
+def one_of_each(docs: DataFrame, words: int = 5, radius: int = 4, least: float = 0.8) -> DataFrame:
+    """The rows, with all their columns, without near-duplicates: texts whose shingles have
+    at least that Jaccard similarity are linked, and of every group the
     document with the smallest doc_id stays. Rows that repeat a doc_id count as copies
     of it and one stays; rows without doc_id stay, as nothing else tells them apart."""
-    prints = stash(fingerprints(docs.where("doc_id IS NOT NULL"), words), "doc-prints")
-    best = groups(prints, radius).where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("copies"))
+    best = similar_groups(docs.where("doc_id IS NOT NULL"), words, radius, least).where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("copies"))
     best = stash(best.select(F.col("doc_id").alias("skein_id"), "copies"), "kept")
     # A sort-merge join at every size: the kept ids grow with the documents.
     kept_rows = docs.join(best.hint("merge"), docs["doc_id"] == best["skein_id"], "left_semi")

@@ -91,3 +91,33 @@ def test_odd_rows_and_stage(odd_docs, make_docs):
     kept = simhash.one_of_each(odd_docs).collect()
     assert sorted((r.doc_id or 0) for r in kept) == [0, 1, 4, 5, 6, 7]
     assert simhash.near_duplicates(make_docs([])).count() == 0
+
+
+def test_stage_links_by_similarity(make_docs):
+    """Copies with a changed word every so often are met whatever their bits; few shared bits alone are no link."""
+    rng = np.random.default_rng(11)
+    rows, sets = [], []
+    for i in range(120):
+        words = [f"w{x}" for x in rng.integers(0, 5000, int(rng.integers(60, 400)))]
+        for k in range(3):
+            copy = list(words)
+            for at in rng.choice(len(copy), k * max(1, len(copy) // 90), replace=False):
+                copy[at] = f"v{rng.integers(0, 5000)}"
+            rows.append((len(rows) + 1, " ".join(copy)))
+            sets.append({tuple(copy[j : j + 5]) for j in range(len(copy) - 4)})
+    n = len(rows)
+    links = [(i, j) for i in range(n) for j in range(i + 1, n) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    prints = [simhash.fingerprint(t, 5) % (1 << 64) for _, t in rows]
+    assert sum((prints[i] ^ prints[j]).bit_count() > 4 for i, j in links) > 50
+    up = unions(n, links)
+    got = {r.doc_id for r in simhash.one_of_each(make_docs(rows)).collect()}
+    assert got == {i + 1 for i in range(n) if up[i] == i}
+
+
+def test_long_runs_are_met_whole(make_docs, monkeypatch):
+    rng = np.random.default_rng(12)
+    words = [f"w{x}" for x in rng.integers(0, 5000, 300)]
+    rows = [(i + 1, " ".join(words[:at] + ["new"] + words[at:])) for i, at in enumerate(range(0, 300, 10))]
+    whole = {r.doc_id for r in simhash.one_of_each(make_docs(rows)).collect()}
+    monkeypatch.setattr(simhash, "LONG_RUN", 1)
+    assert whole == {1} == {r.doc_id for r in simhash.one_of_each(make_docs(rows)).collect()}
