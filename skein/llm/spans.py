@@ -1,10 +1,14 @@
 """Substring dedup by sliding sentence spans.
 
-A text is a sequence of sentences, cut after . ! ? and line ends. From every
-sentence on, the shortest run of at least two sentences and MIN_WORDS words is
-a span; its hash (of lower-case words) is joined over all documents. Of equal
-spans the first by (doc_id, position) stays, and the sentences that any other
-one covers are removed.
+A text is a sequence of sentences, cut after . ! ? | their wide forms and line
+ends; a sentence of WINDOW words or more is cut further, after the word of the least
+hash of every WINDOW words in a row. So equal passages are cut alike in any host but for
+WINDOW words at each end, and a shared run of over 50 words is always found. From every sentence on, the shortest run of at least two
+sentences and MIN_WORDS words is a span; where that is longer, or does not start
+with a sentence, the shortest run of LONG_WORDS words is one, be it part of one
+sentence. The hash of a span (of lower-case words) is joined over all
+documents. Of equal spans the first by (doc_id, position) stays, and the
+sentences, or parts of one, that any other covers are removed.
 
 Counts are combined before the shuffle and the join on hashes is one that
 adaptive execution can split, so a passage that a third of all documents share
@@ -20,6 +24,7 @@ columns pass through unchanged.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -31,32 +36,76 @@ from skein.llm.common import arrow_schema, batches, bounded_batches, kept, stash
 
 MIN_SENTENCES = 2
 MIN_WORDS = 12
-SENTENCE = re.compile(r"[^.!?\n]*(?:[.!?\n]+[^\S\n]*|$)")
+#: Words that are a span whether or not they are two whole sentences.
+LONG_WORDS = 16
+#: Words in a row of which one ends a part.
+WINDOW = 12
+MARKS = ".!?|\u3002\uff01\uff1f\u2026"
+SENTENCE = re.compile(rf"[^{MARKS}\n]*(?:[{MARKS}\n]+[^\S\n]*|$)")
+#: White space as bytes.split sees it, so that words are counted alike.
+WORDS = re.compile(r"[^ \t\n\r\f\v]+[ \t\n\r\f\v]*")
+
+
+def pieces(sentence: str) -> list[str]:
+    """A sentence cut after the word of the least hash of every WINDOW words in a row; shorter ones stay whole."""
+    if len(sentence) < 2 * WINDOW:
+        return [sentence]
+    rank = list(map(zlib.crc32, sentence.lower().encode("utf-8", "surrogatepass").split()))
+    n, cuts, least = len(rank), [], -1
+    for stop in range(WINDOW, n + 1):
+        if least < stop - WINDOW:  # it has left the window
+            least = min(range(stop - WINDOW, stop), key=lambda i: (rank[i], -i))
+            cuts.append(least)
+        elif rank[stop - 1] <= rank[least]:
+            least = stop - 1
+            cuts.append(least)
+    if not cuts:
+        return [sentence]
+    ends = [m.end() for m in WORDS.finditer(sentence)]
+    at = [0, *[ends[i] for i in cuts if i < n - 1], len(sentence)]
+    return [sentence[x:y] for x, y in zip(at, at[1:], strict=False)]
 
 
 def sentences(text: str) -> list[str]:
-    """The parts of a text, which join to the whole text."""
-    return [x for x in SENTENCE.findall(text) if x]
+    """The parts of a text, sentences or pieces of long ones, which join to the whole text."""
+    return [y for x in SENTENCE.findall(text) if x for y in pieces(x)]
+
+
+def ends_sentence(part: str) -> bool:
+    """Whether a part of a text is the end of its sentence, by its marks."""
+    return "\n" in part or part.rstrip()[-1:] in MARKS
 
 
 def span_hashes(parts: list[str]) -> list[tuple[int, int, int]]:
-    """(hash, first sentence, sentences) of the shortest long enough run from each sentence."""
+    """(hash, first part, parts) of the shortest long enough run from each part."""
     shown = [" ".join(x.lower().split()) for x in parts]
     # Sentences without words, such as empty lines, neither count nor break a run.
     real = [i for i, x in enumerate(shown) if x]
     words = [shown[i].count(" ") + 1 for i in real]
-    found, end, total = [], 0, 0
-    for k, first in enumerate(real):
-        if end < k:
-            end, total = k, 0
-        while end < len(real) and (total < MIN_WORDS or end - k < MIN_SENTENCES):
-            total += words[end]
-            end += 1
-        if total < MIN_WORDS or end - k < MIN_SENTENCES:
-            break
-        run = " ".join([shown[i] for i in real[k:end]])
-        found.append((xxhash.xxh3_64_intdigest(run) - (1 << 63), first, real[end - 1] - first + 1))
-        total -= words[k]
+    ends = [ends_sentence(parts[i]) for i in real]
+    if ends:
+        ends[-1] = True
+    starts = [True, *ends[:-1]]
+
+    def runs(least_words: int, least_sentences: int) -> list[int]:
+        """For each real part the end of the shortest long enough run; beyond the last where there is none."""
+        out, end, total, whole = [], 0, 0, 0
+        for k in range(len(real)):
+            while end < len(real) and (total < least_words or whole < least_sentences):
+                total += words[end]
+                whole += ends[end]
+                end += 1
+            out.append(end if total >= least_words and whole >= least_sentences else len(real) + 1)
+            total -= words[k]
+            whole -= ends[k]
+        return out
+
+    found = []
+    for k, (short, long) in enumerate(zip(runs(MIN_WORDS, MIN_SENTENCES), runs(LONG_WORDS, 0), strict=True)):
+        end = min(short, long) if starts[k] else long
+        if end <= len(real):
+            run = " ".join([shown[i] for i in real[k:end]])
+            found.append((xxhash.xxh3_64_intdigest(run) - (1 << 63), real[k], real[end - 1] - real[k] + 1))
     return found
 
 

@@ -55,3 +55,31 @@ def test_odd_rows(odd_docs, make_docs):
     assert spans.remove_repeats(make_docs([])).count() == 0
     twice = spans.remove_repeats(make_docs([(1, PASSAGE), (1, PASSAGE)])).collect()
     assert [r.text for r in twice] == [PASSAGE, PASSAGE]
+
+
+def shared_runs(rows, n):
+    """Ids of documents with n words in a row that an earlier one has too."""
+    seen, out = set(), set()
+    for doc, text in rows:
+        words = text.lower().split()
+        own = {" ".join(words[i : i + n]) for i in range(len(words) - n + 1)}
+        if own & seen:
+            out.add(doc)
+        seen |= own
+    return out
+
+
+def test_long_passages_without_whole_sentences(make_docs):
+    """Passages of over 50 words in any host: one endless sentence, cells, glued first sentences."""
+    import random
+
+    draw = random.Random(5)
+    word = lambda n: [f"{draw.choice('bcdfg')}{draw.randrange(3000)}" for _ in range(n)]
+    rows = []
+    for lengths in ((55,), (20, 20, 14), (24, 22, 8), (51,), (30, 25), (60, 3)):
+        passage = ". ".join(" ".join(word(n)) for n in lengths)
+        for head, tail in (("", ""), (" | cell | ", " and so"), (" ", " "), (". ", "! "), ("\u3002", "\uff01")):
+            rows.append((len(rows) + 1, " ".join(word(30)) + f" {head}{passage}{tail} " + " ".join(word(30))))
+    assert len(shared_runs(rows, 40)) == 24
+    got = sorted((r.doc_id, r.text) for r in spans.remove_repeats(make_docs(rows)).collect())
+    assert shared_runs(got, 30) == set() and dict(got) == brute(rows)
