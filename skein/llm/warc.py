@@ -145,7 +145,7 @@ def mark_revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     html = F.coalesce("html", F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
     marks = stash(rows.select("page_id", F.sha1(html.cast("binary")).alias("sha1"), F.octet_length(html).alias("n")), "digests")
-    firsts = marks.where(F.col("n") >= least_bytes).groupBy("sha1").agg(F.max("page_id").alias("response_id"), F.count("*").alias("copies")).where("copies > 1")
+    firsts = marks.where(F.col("n") >= least_bytes).groupBy("sha1").agg(F.max("page_id").alias("response_id"), F.count("*").alias("copies")).where("copies > 1 AND response_id IS NOT NULL")
     later = marks.join(firsts, "sha1").where("page_id IS NULL OR page_id < response_id").select("page_id", "sha1", "response_id").distinct()
     later = later.withColumnsRenamed({"page_id": "later_id", "sha1": "later_sha1"})
     met = rows.join(later, rows["page_id"].eqNullSafe(later["later_id"]) & (F.sha1(html.cast("binary")) == later["later_sha1"]), "left")

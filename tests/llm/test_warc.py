@@ -60,3 +60,9 @@ def test_directory_search_over_blocks(tmp_path):
     for i, k in enumerate(keys[:30]):
         assert list(found.find(k)) == [("f", i, 1)]
     assert [x[1] for x in found.find("z s 1")] == list(range(30, 42)) and not list(found.find("nothing"))
+
+
+def test_pages_without_ids_keep_their_payload(spark):
+    rows = [(None, "http://a/1", "same"), (None, "http://a/2", "same"), (None, "http://a/3", "other"), (4, "http://a/4", "other")]
+    got = {r.url[-1]: (r.revisit, r.response_id) for r in warc.mark_revisits(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got["1"] == got["2"] == (False, None) and got["3"] == (True, 4) and not got["4"][0]
