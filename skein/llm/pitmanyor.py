@@ -4,9 +4,7 @@ Every word is the context of a restaurant that seats the words that follow it;
 all these restaurants share one parent, whose customers are their tables and
 whose base is uniform over the known words and one for all others. Gibbs sweeps
 draw, for every context and word with several customers, the number of its
-tables given all others (exactly, by generalised Stirling numbers, for up to
-EXACT customers; beyond, customers take seats one after another in growing
-groups), then the seating of the parent. After burn-in, the predictive
+tables given all others (see skein.llm.tables), then the seating of the parent. After burn-in, the predictive
 probabilities of several sweeps are averaged. Within a sweep all draws use the
 totals of the sweep before, so that they can be made in parallel.
 
@@ -19,8 +17,8 @@ tokens; each fits a task. The driver sees only totals.
 
 Edge cases: a null text is an empty one, whose only token is the end; rows that
 repeat are scored and counted each; a null doc_id is no held-out row; without
-training rows the model is its base; texts are read whole, in any length; other
-columns are not read.
+training rows the model is its base; texts are read whole, and a task's memory
+follows its longest text; other columns are not read.
 """
 
 from __future__ import annotations
@@ -36,11 +34,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm.common import arrow_schema, batches, bounded_batches, forget, kept, stash, texts
+from skein.llm.packed import PARTITION_BITS, by_bucket, chunk_place, narrow, planes, read, unplaned, wide
+from skein.llm.tables import draw_tables, log_stirling  # noqa: F401
 
 BURN_IN, SAMPLES = 1, 2
 CHUNK_TOKENS = 4_500_000
 PAIR_TOKENS, WORD_TOKENS = 3_000_000, 6_000_000
-EXACT = 32
 STRENGTH = 1.0
 REMEMBERED = 800_000
 #: A line end is white space and so no word: it stands for a text's end, and for what precedes its first word.
@@ -69,33 +68,6 @@ def received(it: Iterator[pa.RecordBatch]) -> dict[str, list[tuple]]:
     return {k: sorted(v, key=lambda x: x[0]) for k, v in held.items()}
 
 
-def read(blob: bytes | None, kind: np.dtype) -> np.ndarray:
-    return np.frombuffer(blob or b"", kind)
-
-
-def planes(keys: np.ndarray) -> np.ndarray:
-    """Sorted hashes byte by byte, the highest first: neighbours share those, so they compress."""
-    return keys.astype(">u8").view(np.uint8).reshape(-1, 8).T
-
-
-def unplaned(blob: bytes | None) -> np.ndarray:
-    return np.ascontiguousarray(read(blob, np.dtype(np.uint8)).reshape(8, -1).T).view(">u8").ravel().astype(U8)
-
-
-def narrow(x: np.ndarray) -> np.ndarray:
-    """Numbers in the bytes that the largest needs, behind a mark of their width, byte by byte:
-    most are small, so all bytes but the lowest compress to little."""
-    most = int(x.max()) if len(x) else 0
-    width = 1 if most < 1 << 8 else 2 if most < 1 << 16 else 4
-    parts = x.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T
-    return np.concatenate([np.array([width], np.uint8), parts.ravel()])
-
-
-def wide(blob: bytes) -> np.ndarray:
-    parts = np.frombuffer(blob, np.uint8, offset=1).reshape(blob[0], -1)
-    return np.ascontiguousarray(parts.T).view(f"<u{blob[0]}").ravel().astype(np.int64)
-
-
 # --- the corpus as codes -----------------------------------------------------
 
 CHUNK = "chunk long, n long, ids binary, lengths binary, held binary, words binary, codes binary"
@@ -105,33 +77,41 @@ def code_corpus(docs: DataFrame) -> DataFrame:
     """Chunks of documents: sorted hashes of their words, the documents as codes of these, and their ids beside a mark for those that aren't null."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema, known = arrow_schema(CHUNK), kept("pitman-yor-words", dict)
-        chunk, size, parts = TaskContext.get().partitionId() << 24, 0, []
+        schema, (known, prints) = arrow_schema(CHUNK), kept("pitman-yor-words", lambda: ({b"\n": 0}, [END]))
+        chunk, size, parts = TaskContext.get().partitionId() << PARTITION_BITS, 0, []
 
         def done() -> pa.RecordBatch:
-            flat = np.concatenate([x for _, _, x in parts])
-            words, codes = np.unique(flat, return_inverse=True)
+            """The chunk, with numbers of the worker's words turned into codes of its own."""
+            flat, hashes = np.concatenate([x for _, _, x in parts]), np.array(prints, np.uint64)
+            used = np.flatnonzero(np.bincount(flat, minlength=len(prints)))
+            used = used[np.argsort(hashes[used])]
+            code = np.zeros(len(prints), np.uint32)
+            code[used] = np.arange(len(used))
             ids = np.array([[i or 0 for i, _, _ in parts], [i is not None for i, _, _ in parts]], I8)
-            out = [ids, np.array([len(x) for _, _, x in parts], U4), np.array([h for _, h, _ in parts], np.uint8), planes(words), narrow(codes)]
+            out = [ids, np.array([len(x) for _, _, x in parts], U4), np.array([h for _, h, _ in parts], np.uint8), planes(hashes[used]), narrow(code[flat])]
             return batches({"chunk": [chunk], "n": [size]} | {k: [np.ascontiguousarray(v).tobytes()] for k, v in zip(schema.names[2:], out, strict=True)}, schema)
 
         for batch in it:
             for doc, held, x in zip(batch.column("doc").to_pylist(), batch.column("held").to_pylist(), texts(batch, "row_text"), strict=True):
                 words = x.encode().lower().split()
+                words.append(b"\n")
                 try:
-                    found = np.fromiter((known[w] for w in words), np.uint64, len(words))
+                    found = np.fromiter((known[w] for w in words), np.int32, len(words))
                 except KeyError:
-                    if len(known) > REMEMBERED:
-                        known.clear()
                     for w in words:
                         if w not in known:
-                            known[w] = xxhash.xxh64_intdigest(w)
-                    found = np.fromiter((known[w] for w in words), np.uint64, len(words))
-                parts.append((doc, held, np.append(found, np.uint64(END))))
-                size += len(words) + 1
-                if size >= CHUNK_TOKENS:
+                            known[w] = len(prints)
+                            prints.append(xxhash.xxh64_intdigest(w))
+                    found = np.fromiter((known[w] for w in words), np.int32, len(words))
+                parts.append((doc, held, found))
+                size += len(words)
+                if size >= CHUNK_TOKENS or len(prints) > REMEMBERED:
                     yield done()
                     chunk, size, parts = chunk + 1, 0, []
+                    if len(prints) > REMEMBERED:
+                        known.clear()
+                        known[b"\n"] = 0
+                        del prints[1:]
         if parts:
             yield done()
 
@@ -154,42 +134,47 @@ class Chunk:
         return bucket_of(self.words, buckets)
 
     def pairs(self) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct pairs as context code times words plus word code, in order; and each token's pair."""
+        """Distinct pairs as context code times words plus word code, in order; and each token's place among them."""
         end = int(np.searchsorted(self.words, np.uint64(END)))
         both = np.empty(len(self.codes), np.int64)
         both[1:] = self.codes[:-1]
         both[self.starts] = end
         both *= len(self.words)
         both += self.codes
-        return np.unique(both), both
-
-    def places(self, distinct: np.ndarray, both: np.ndarray) -> Iterator[tuple[slice, np.ndarray]]:
-        """Where each token's pair is among the distinct ones, in parts."""
-        for at in range(0, len(both), 500_000):
-            part = slice(at, at + 500_000)
-            yield part, np.searchsorted(distinct, both[part])
+        return ranked(both, len(self.words) ** 2)
 
-    def pair_counts(self, distinct: np.ndarray, both: np.ndarray) -> np.ndarray:
+    def pair_counts(self, pairs: int, places: np.ndarray) -> np.ndarray:
         """How often each distinct pair occurs in training."""
-        n, train = np.zeros(len(distinct), np.int64), self.train()
-        for part, place in self.places(distinct, both):
-            n += np.bincount(place[train[part]], minlength=len(distinct))
-        return n
+        return np.bincount(places[self.train()], minlength=pairs)
 
     def pair_bucket(self, u: np.ndarray, w: np.ndarray, buckets: int) -> np.ndarray:
         return bucket_of(self.words[u] * np.uint64(0x9E3779B97F4A7C15) ^ self.words[w], buckets)
 
 
+def ranked(keys: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys (from 0 to most) in order, and the place of each key among them."""
+    bits = len(keys).bit_length()
+    if most.bit_length() + bits < 64:  # one sort of keys with their places behind is the fastest
+        keys <<= bits
+        keys |= np.arange(len(keys))
+        keys.sort()
+        at = (keys & ((1 << bits) - 1)).astype(np.uint32)
+        keys >>= bits
+    else:
+        at = np.argsort(keys)
+        keys = keys[at]
+    new = np.ones(len(keys), bool)
+    np.not_equal(keys[1:], keys[:-1], out=new[1:])
+    places = np.empty(len(keys), np.uint32)
+    places[at] = np.cumsum(new, dtype=np.uint32) - np.uint32(1)
+    return keys[new], places
+
+
 def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
     mixed = (hashes ^ hashes >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
     return ((mixed >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
 
 
-def by_bucket(bucket: np.ndarray, buckets: int) -> list[np.ndarray]:
-    """Places of each bucket's members, in order."""
-    return np.split(np.argsort(bucket, kind="stable"), np.cumsum(np.bincount(bucket, minlength=buckets))[:-1])
-
-
 def chunks_of(batch: pa.RecordBatch) -> Iterator[tuple[int, Chunk]]:
     for chunk, *blobs in zip(*(batch.column(c).to_pylist() for c in ("chunk", "lengths", "held", "words", "codes")), strict=True):
         yield chunk, Chunk(*blobs)
@@ -213,10 +198,10 @@ def ask_pairs(chunks: DataFrame, buckets: int) -> DataFrame:
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             for number, chunk in chunks_of(batch):
-                distinct, both = chunk.pairs()
-                n = chunk.pair_counts(distinct, both)
+                distinct, places = chunk.pairs()
+                n = chunk.pair_counts(len(distinct), places)
                 u, w = np.divmod(distinct, len(chunk.words))
-                del distinct, both
+                del distinct, places
                 out = []
                 for k, at in enumerate(by_bucket(chunk.pair_bucket(u, w, buckets), buckets)):
                     if len(at):
@@ -282,40 +267,6 @@ def build(asked: DataFrame, buckets: int, word_buckets: int) -> DataFrame:
     return asked.repartitionById(buckets, "dest").mapInArrow(run, ROW)
 
 
-def log_stirling(discount: float) -> np.ndarray:
-    """Logs of the generalised Stirling numbers: weights of c customers at t tables."""
-    s = np.full((EXACT + 1, EXACT + 1), -np.inf)
-    s[0, 0] = 0.0
-    for c in range(EXACT):
-        t = np.arange(1, c + 2)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            s[c + 1, t] = np.logaddexp(s[c, t - 1], s[c, t] + np.log(np.maximum(c - t * discount, 1e-300)))
-    return s
-
-
-def draw_tables(count: np.ndarray, others: np.ndarray, base: np.ndarray, discount: float, strength: float, rng: np.random.Generator) -> np.ndarray:
-    """Tables of each dish given its customers, the other tables of its restaurant and the parent's probability."""
-    tables = np.minimum(count, 1)
-    weights = log_stirling(discount)
-    near = np.minimum(count, EXACT)
-    for c in np.unique(near[near >= 2]).tolist():
-        at = np.flatnonzero(near == c)
-        for part in np.array_split(at, max(1, len(at) * c // 4_000_000 + 1)):
-            t = np.arange(c)
-            opened = np.cumsum(np.log(strength + discount * (others[part, None] + t)) + np.log(base[part, None]), axis=1)
-            p = weights[c, 1 : c + 1] + opened
-            p = np.cumsum(np.exp(p - p.max(axis=1, keepdims=True)), axis=1)
-            tables[part] = 1 + (rng.random(len(part))[:, None] * p[:, -1:] > p).sum(axis=1)
-    at, seated = np.flatnonzero(count > EXACT), EXACT
-    while len(at):
-        group = np.minimum(max(1, seated // 16), count[at] - seated)
-        new = (strength + discount * (others[at] + tables[at])) * base[at]
-        tables[at] += rng.binomial(group, new / (new + seated - discount * tables[at]))
-        seated += max(1, seated // 16)
-        at = at[count[at] > seated]
-    return tables
-
-
 def sweep(state: DataFrame, replies: DataFrame | None, model: dict, buckets: int, word_buckets: int, turn: int) -> DataFrame:
     """Draw the tables of all state pairs; state rows with the draw added, and sums for the words' buckets."""
 
@@ -465,7 +416,7 @@ def answer_pairs(state: DataFrame, codes: DataFrame, buckets: int) -> DataFrame:
 def score_chunk(chunk: Chunk, words: dict[int, bytes], pairs: dict[int, bytes], model: dict, buckets: int, word_buckets: int) -> dict[str, np.ndarray]:
     """Of each document of a chunk: tokens, known tokens and both scores."""
     found = aligned(words, chunk.word_bucket(word_buckets), word_buckets)
-    distinct, both = chunk.pairs()
+    distinct, places = chunk.pairs()
     u, w = np.divmod(distinct, len(chunk.words))
     seen = aligned(pairs, chunk.pair_bucket(u, w, buckets), buckets)
     count, prob = found[0], np.zeros(len(distinct))
@@ -474,11 +425,8 @@ def score_chunk(chunk: Chunk, words: dict[int, bytes], pairs: dict[int, bytes],
         base = root_probability(found[2 + 3 * s], found[3 + 3 * s], model | {"root_customers": customers, "root_tables": tables})
         top = np.maximum(seen[0] - model["d1"] * seen[min(1 + s, len(seen) - 1)], 0) + (STRENGTH + model["d1"] * found[1 + 3 * s][u]) * base[w]
         prob += np.where(count[u] > 0, top / (STRENGTH + count[u]), base[w]) / draws
-    del seen, u, w
-    prob = np.log10(prob)
-    per_token = np.empty(len(both))
-    for part, place in chunk.places(distinct, both):
-        per_token[part] = prob[place]
+    del seen, u, w, distinct
+    per_token = np.log10(prob)[places]
     flat = np.log10((count + 1.0) / (model["tokens"] + model["words"] + 1))
     add = lambda x: np.add.reduceat(x, chunk.starts)  # noqa: E731  every document has a token
     return {"n_tokens": chunk.lengths, "n_known": add((count > 0)[chunk.codes].astype(np.int64)), "base_score": add(flat[chunk.codes]), "score": add(per_token)}
@@ -495,8 +443,8 @@ def aligned(replies: dict[int, bytes], bucket: np.ndarray, buckets: int) -> np.n
     return out
 
 
-def score(chunks: DataFrame, words: DataFrame, pairs: DataFrame, model: dict, buckets: int, word_buckets: int, tasks: int) -> DataFrame:
-    """Bring each chunk and the replies to it together, and score its documents."""
+def score(chunks: DataFrame, words: DataFrame, pairs: DataFrame, model: dict, buckets: int, word_buckets: int, most: int, tasks: int) -> DataFrame:
+    """Bring each chunk and the replies to it together, and score its documents; most: the chunks of a partition at most."""
     own = chunks.select(F.lit("chunk").alias("kind"), F.lit(0).alias("dest"), F.col("chunk").alias("src"), F.col("lengths").alias("a"), F.col("held").alias("b"), F.col("words").alias("c"), F.col("codes").alias("d"), F.col("ids").alias("e"))
     ddl = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
@@ -522,7 +470,7 @@ def score(chunks: DataFrame, words: DataFrame, pairs: DataFrame, model: dict, bu
             yield from done()
 
     rows = own.unionByName(words).unionByName(pairs)
-    return rows.repartition(tasks, "src").sortWithinPartitions("src").mapInArrow(run, ddl)
+    return rows.repartitionById(tasks, chunk_place("src", most, tasks)).sortWithinPartitions("src").mapInArrow(run, ddl)
 
 
 def totals(rows: DataFrame, width: int) -> np.ndarray:
@@ -549,8 +497,8 @@ def score_documents(docs: DataFrame, held_out, key: str = "doc_id", text: str =
     bounded_batches(spark)
     rows = docs.select(F.col(key).cast("long").alias("doc"), held_out.alias("held"), F.col(text).alias("row_text"))
     chunks = stash(code_corpus(rows), "chunks")
-    size = chunks.agg(F.sum("n").alias("tokens"), F.count("*").alias("chunks")).first()
-    tokens = size.tokens or 0
+    size = chunks.agg(F.sum("n").alias("tokens"), F.count("*").alias("chunks"), F.max(F.col("chunk").bitwiseAND((1 << PARTITION_BITS) - 1)).alias("last"), F.max(F.shiftright("chunk", PARTITION_BITS)).alias("partition")).first()
+    tokens, most = size.tokens or 0, 1 + (size.last or 0)
     buckets, word_buckets = max(12, -(-tokens // PAIR_TOKENS)), max(8, -(-tokens // WORD_TOKENS))
     built = stash(build(ask_pairs(chunks, buckets), buckets, word_buckets), "pairs", by="kind")
     of = lambda df, kind: df.where(F.col("kind") == kind)
@@ -577,5 +525,5 @@ def score_documents(docs: DataFrame, held_out, key: str = "doc_id", text: str =
     pairs = stash(answer_pairs(state, of(built, "code"), buckets), "pair-replies")
     forget(built, words, *past)
     tidy(spark)
-    scored = score(chunks, of(to_chunks, "words"), pairs, model, buckets, word_buckets, max(8, size.chunks))
+    scored = score(chunks, of(to_chunks, "words"), pairs, model, buckets, word_buckets, most, max(8, min(2 * size.chunks, most * (1 + (size.partition or 0)))))
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n_tokens).cast("long").alias("train_tokens"), "base_score", "score")

@@ -99,3 +99,93 @@ def test_packed_numbers_come_back():
     assert len(pitmanyor.wide(pitmanyor.narrow(np.zeros(0, int)).tobytes())) == 0
     keys = np.unique(rng.integers(0, 2**63, 1000, dtype=np.uint64))
     assert np.array_equal(pitmanyor.unplaned(np.ascontiguousarray(pitmanyor.planes(keys)).tobytes()), keys)
+
+
+@pytest.mark.parametrize("c", [33, 100, 500, 1000, 1024, 1025, 3000])
+def test_means_of_many_customers(c):
+    """Mean and spread of drawn tables against the exact posterior, by the recurrence in full."""
+    from skein.llm import tables
+
+    rng, n = np.random.default_rng(c), 1500
+    for d, others, base in ((0.7, 100, 0.01), (0.8, 1000, 0.01), (0.8, 5000, 0.02), (0.3, 5000, 0.02), (0.5, 0, 0.3), (0.9, 10**6, 1e-5)):
+        s = np.array([0.0])
+        for k in range(1, c):
+            stay = np.log(k - np.arange(1, k + 1) * d) + s
+            s = np.concatenate((stay[:1], np.logaddexp(s[:-1], stay[1:]), s[-1:]))
+        t = np.arange(1, c + 1)
+        w = s + np.concatenate(([0], np.cumsum(np.log(1.0 + d * (others + t[:-1])) + np.log(base))))
+        p = np.exp(w - w.max()) / np.exp(w - w.max()).sum()
+        mean = (p * t).sum()
+        spread = math.sqrt((p * (t - mean) ** 2).sum())
+        drawn = tables.draw_tables(np.full(n, c), np.full(n, others), np.full(n, base), d, 1.0, rng)
+        assert abs(drawn.mean() - mean) <= 4.5 * spread / math.sqrt(n) + 1e-3 and abs(drawn.std() - spread) <= 0.15 * spread + 1e-3
+
+
+def test_scores_by_a_plain_model(spark, make_docs, monkeypatch):
+    """Scores of a small corpus by dictionaries, from the tables that the sampler drew."""
+    import xxhash
+
+    frames, stash = {}, pitmanyor.stash
+
+    def watched(df, name, by=None):
+        frames[name] = stash(df, name, by)
+        return frames[name]
+
+    monkeypatch.setattr(pitmanyor, "stash", watched)
+    monkeypatch.setattr(pitmanyor, "forget", lambda *frames: None)
+    rng = np.random.default_rng(4)
+    vocabulary = [f"w{i}" for i in range(30)]
+    texts = [" ".join(rng.choice(vocabulary, rng.integers(0, 60), p=np.arange(30, 0, -1) / 465)) for _ in range(120)]
+    got = {r.doc_id: r.score for r in pitmanyor.score_documents(make_docs(list(enumerate(texts))), F.col("doc_id") % 3 == 0).collect()}
+
+    pairs = Counter(p for i, t in enumerate(texts) if i % 3 for x in [tokens(t)] for p in zip([b"\n", *x], x, strict=False))
+    word_of = {xxhash.xxh64_intdigest(w): w for p in pairs for w in p}
+    draws = [{p: 1 for p, c in pairs.items() if c == 1} for _ in range(pitmanyor.SAMPLES)]
+    for r in frames["sweep"].where("kind = 'state'").collect():
+        keys, where, count = pitmanyor.unplaned(r.a), pitmanyor.wide(r.b), pitmanyor.wide(r.c)
+        tables = pitmanyor.wide(r.d).reshape(-1, len(count)) if len(count) else np.zeros((pitmanyor.SAMPLES, 0), int)
+        assert len(tables) == pitmanyor.SAMPLES
+        for k, c in enumerate(count.tolist()):
+            p = word_of[int(keys[where[k]])], word_of[int(keys[where[len(count) + k]])]
+            assert pairs[p] == c >= 2
+            for own, t in zip(draws, tables[:, k].tolist(), strict=True):
+                assert 1 <= t <= c
+                own[p] = t
+    asked = {r.dest * 1000 + r.src % 1000 + (r.src >> 24) * 10**6: r for r in pitmanyor.ask_words(frames["chunks"], 8).collect()}
+    roots = [{} for _ in draws]
+    for r in frames["word-replies"].where("kind = 'words'").collect():
+        names = pitmanyor.unplaned(asked[r.dest * 1000 + r.src % 1000 + (r.src >> 24) * 10**6].a)
+        found = pitmanyor.wide(r.a).reshape(-1, len(names))
+        for i, h in enumerate(names.tolist()):
+            for s, own in enumerate(roots):
+                own[word_of.get(h)] = int(found[3 + 3 * s, i])
+    once, twice = (sum(c == k for c in pairs.values()) for k in (1, 2))
+    d1, words, total = pitmanyor.discount(once, twice), {w for p in pairs for w in p}, Counter()
+    for (u, _), c in pairs.items():
+        total[u] += c
+    first = Counter(w for _, w in pairs)
+    scores = {i: [] for i in got}
+    state = {"d0": None}
+    # The root's discount is that of the sweep before the last draw.
+    before = [pitmanyor.totals(frames["seats"], 4).tolist()]
+    state["d0"] = pitmanyor.discount(before[0][2], before[0][3])
+    probs = []
+    for own, root in zip(draws, roots, strict=True):
+        customers, context = Counter(), Counter()
+        for (u, w), t in own.items():
+            customers[w] += t
+            context[u] += t
+        assert set(own) == set(pairs) and all(1 <= root[w] <= customers[w] for w in first)
+        n, at_root = sum(customers.values()), sum(root[w] for w in first)
+
+        def prob(u, w, own=own, root=root, customers=customers, context=context, n=n, at_root=at_root):
+            base = (customers[w] - state["d0"] * (root[w] if w in first else 0) + (1 + state["d0"] * at_root) / (len(words) + 1)) / (1 + n)
+            return (max(pairs[u, w] - d1 * own.get((u, w), 0), 0) + (1 + d1 * context[u]) * base) / (1 + total[u]) if total[u] else base
+
+        for u in [*words, b"never"]:
+            assert math.isclose(sum(prob(u, w) for w in words) + prob(u, b"unseen"), 1.0)
+        probs.append(prob)
+    for i, t in enumerate(texts):
+        x = tokens(t)
+        scores[i] = sum(math.log10(sum(p(u, w) for p in probs) / len(probs)) for u, w in zip([b"\n", *x], x, strict=False))
+    assert all(math.isclose(got[i], scores[i], rel_tol=1e-9) for i in got) and len(got) == len(texts)
