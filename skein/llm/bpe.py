@@ -20,7 +20,7 @@ from __future__ import annotations
 import hashlib
 import json
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import regex
@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 from skein.llm.common import arrow_schema, batches, bounded_batches, kept, texts
 
 REMEMBERED = 400_000
+#: Lengths of prefixes whose last tokens are remembered, as words share them.
+PREFIXES = (8, 6, 4)
 NO_PARENT = 1 << 60
 #: Characters at which str.split cuts though they are no white space for the tokenizer.
 SPLIT_ONLY = "\x1c\x1d\x1e\x1f"
@@ -99,6 +101,18 @@ class VocabularyAutomaton:
         return copy
 
 
+class Remembered(dict):
+    """Values by key, made when they are first asked for."""
+
+    def __init__(self, make: Callable):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, key: str):
+        found = self[key] = self.make(key)
+        return found
+
+
 class WordBpe:
     """A tokenizer file with byte-level words that end in a suffix mark."""
 
@@ -121,7 +135,8 @@ class WordBpe:
         self.right: dict[int, list[tuple[int, int]]] = {}
         self.left: dict[int, list[tuple[int, int]]] = {}
         self.pairs: dict[int, bool] = {}
-        self.known: dict[str, tuple[str, str]] = {}
+        self.prefixes: dict[str, tuple[int, int, list[int], list[int]]] = {}
+        self.known = Remembered(self._written)
         self.known_words: dict[str, list[int]] = {}
 
     def _symbols(self, token: str) -> str:
@@ -170,7 +185,16 @@ class WordBpe:
         last: list[int] = []
         back: list[int] = []
         state = matched = end = 0
-        for symbol in shown[:-1] + chr(0xE000 + ord(shown[-1])):
+        size = len(shown)
+        for n in PREFIXES:
+            if n < size and (held := self.prefixes.get(shown[:n])) is not None:
+                state, matched, last, back = held
+                last, back, end = last.copy(), back.copy(), n
+                break
+        begun = end
+        for symbol in shown[end:-1] + chr(0xE000 + ord(shown[-1])):
+            if end in PREFIXES and end > begun:
+                self._keep(shown[:end], state, matched, last, back)
             end += 1
             while state and symbol not in to[state]:
                 state = link[state]
@@ -200,6 +224,11 @@ class WordBpe:
             end = back[end - 1]
         return [i for i in reversed(ids) if i >= 0]
 
+    def _keep(self, prefix: str, state: int, matched: int, last: list[int], back: list[int]) -> None:
+        if len(self.prefixes) >= REMEMBERED // 4:
+            self.prefixes.clear()
+        self.prefixes[prefix] = state, matched, last.copy(), back.copy()
+
     def _word(self, word: str) -> list[int]:
         """encode_word, remembered."""
         found = self.known_words.get(word)
@@ -228,6 +257,10 @@ class WordBpe:
         """Tokens joined by a space, as for a tokenizer file without a decoder."""
         return " ".join([self.text_of[i] for i in ids])
 
+    def _written(self, chunk: str) -> tuple[str, str]:
+        ids = self.encode_plain(chunk)
+        return " ".join(map(str, ids)), self.decode(ids)
+
     def written(self, text: str) -> tuple[str, str]:
         """Decimal ids and decoded tokens, both joined by spaces.
 
@@ -237,18 +270,9 @@ class WordBpe:
         if self.special_cut and self.special_cut.search(text) or any(c in text for c in SPLIT_ONLY):
             ids = self.encode(text)
             return " ".join(map(str, ids)), self.decode(ids)
-        known = self.known
-        chunks = text.split()
-        try:
-            both = [known[c] for c in chunks]
-        except KeyError:
-            if len(known) >= REMEMBERED:
-                known.clear()
-            for c in set(chunks):
-                if c not in known:
-                    ids = self.encode_plain(c)
-                    known[c] = (" ".join(map(str, ids)), self.decode(ids))
-            both = [known[c] for c in chunks]
+        if len(self.known) >= REMEMBERED:
+            self.known.clear()
+        both = list(map(self.known.__getitem__, text.split()))
         if not both:
             return "", ""
         a, b = zip(*both, strict=True)

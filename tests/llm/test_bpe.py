@@ -49,3 +49,13 @@ def test_query_on_whole_documents(spark, sf, both, odd_docs, make_docs):
     rows = sorted(((r.doc_id or 0), r.n_tokens) for r in bpe.encode_table(odd_docs, bpe.word_bpe()).collect())
     assert len(rows) == 9 and (1, 0) in rows and rows.count((6, 1)) == 2
     assert bpe.encode_table(make_docs([]), bpe.word_bpe()).count() == 0
+
+
+def test_words_that_share_prefixes(both):
+    """Words in any order, with remembered prefixes, against the library."""
+    r = random.Random(3)
+    stems = ["".join(r.choice(["th", "er", "in", "keit", "é", "ñ", "of", "x", "ing", "🙂"]) for _ in range(r.randrange(1, 7))) for _ in range(300)]
+    for s in stems:
+        for _ in range(6):
+            check(both, s[: r.randrange(1, len(s) + 1)] + r.choice(["", "s", "ing", "th", "e", "erst"]))
+    assert both[0].prefixes
