@@ -58,17 +58,43 @@ def stash(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     (out.partitionBy(by) if by else out).parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._skein_path = path
+    made(spark).append(path)
     return back
 
 
+def made(spark: SparkSession) -> list[str]:
+    """Paths of the tables that this session has stashed and not deleted, in order."""
+    return sys.__dict__.setdefault("_skein_made", {}).setdefault(spark.sparkContext.applicationId, [])
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def forget(*frames: DataFrame) -> None:
     """Delete stashed tables that nothing reads any more."""
     for df in frames:
         path, spark = getattr(df, "_skein_path", None), df.sparkSession
         if path:
-            jvm = spark._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+            delete(spark, path)
+            if path in made(spark):
+                made(spark).remove(path)
+
+
+def forget_since(spark: SparkSession, before: int) -> None:
+    """Delete the tables stashed after the first so many: a result that needed them is written."""
+    while len(made(spark)) > before:
+        delete(spark, made(spark).pop())
+
+
+def settled(df: DataFrame, name: str, before: int) -> DataFrame:
+    """A small result, stashed, without the tables it needed that were stashed after the first so many."""
+    back = stash(df, name)
+    made(df.sparkSession).remove(back._skein_path)
+    forget_since(df.sparkSession, before)
+    made(df.sparkSession).append(back._skein_path)
+    return back
 
 
 def kept(name: str, make: Callable):
@@ -122,3 +148,9 @@ def arrow_schema(ddl: str) -> pa.Schema:
 def texts(batch: pa.RecordBatch, column: str) -> Iterator[str]:
     """The texts of a batch; null reads as empty."""
     return ("" if x is None else x for x in batch.column(column).to_pylist())
+
+
+def free_names(names: tuple[str, ...], taken: list[str]) -> list[str]:
+    """The names, each with underscores behind it until no column has it."""
+    held = {x.lower() for x in taken}
+    return [next(y for k in range(len(held) + 1) if (y := x + "_" * k).lower() not in held) for x in names]

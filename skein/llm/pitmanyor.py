@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import arrow_schema, batches, bounded_batches, forget, kept, stash, texts
+from skein.llm.common import arrow_schema, batches, bounded_batches, forget, kept, made, settled, stash, texts
 from skein.llm.packed import PARTITION_BITS, by_bucket, chunk_place, narrow, planes, read, unplaned, wide
 from skein.llm.tables import draw_tables, log_stirling  # noqa: F401
 
@@ -495,6 +495,7 @@ def score_documents(docs: DataFrame, held_out, key: str = "doc_id", text: str =
     from a model of the rows where held_out (a column) is false."""
     spark = docs.sparkSession
     bounded_batches(spark)
+    before = len(made(spark))
     rows = docs.select(F.col(key).cast("long").alias("doc"), held_out.alias("held"), F.col(text).alias("row_text"))
     chunks = stash(code_corpus(rows), "chunks")
     size = chunks.agg(F.sum("n").alias("tokens"), F.count("*").alias("chunks"), F.max(F.col("chunk").bitwiseAND((1 << PARTITION_BITS) - 1)).alias("last"), F.max(F.shiftright("chunk", PARTITION_BITS)).alias("partition")).first()
@@ -526,4 +527,5 @@ def score_documents(docs: DataFrame, held_out, key: str = "doc_id", text: str =
     forget(built, words, *past)
     tidy(spark)
     scored = score(chunks, of(to_chunks, "words"), pairs, model, buckets, word_buckets, most, max(8, min(2 * size.chunks, most * (1 + (size.partition or 0)))))
-    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    scored = scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    return settled(scored, "scores", before)

@@ -1,29 +1,97 @@
+import zlib
+
+import numpy as np
 from skein.llm import spans
 
 
-def brute(rows):
-    """Texts after removal, by listing every span of every document in order."""
-    first, out = {}, {}
-    listed = []
-    for doc, text in rows:
-        for h, at, n in spans.span_hashes(spans.sentences(text or "")):
-            listed.append((doc, at, n, h))
-    for doc, at, _, h in sorted(listed):
-        first.setdefault(h, (doc, at))
-    for doc, text in rows:
-        gone = [(at, n) for d, at, n, h in listed if d == doc and first[h] != (doc, at)]
-        out[doc] = None if text is None else spans.cut(text, gone)[0]
+def plain_parts(text):
+    """(part, whether it ends a sentence), by the definition: sentences letter by letter, cuts by every window."""
+    marks, found, now, i = ".!?|\u3002\uff01\uff1f\u2026\n", [], "", 0
+    while i < len(text):
+        now += text[i]
+        i += 1
+        if now[-1] in marks:
+            while i < len(text) and text[i] in marks:
+                now += text[i]
+                i += 1
+            while i < len(text) and text[i].isspace() and text[i] != "\n":
+                now += text[i]
+                i += 1
+            found.append(now)
+            now = ""
+    out = []
+    for sentence in [*found, now] if now else found:
+        rank = [zlib.crc32(w) for w in sentence.lower().encode().split()]
+        cuts = {min(range(k, k + 12), key=lambda i: (rank[i], -i)) for k in range(len(rank) - 11)}
+        parts, word, inside = [""], -1, False
+        for c in sentence:
+            white = c in " \t\n\r\f\v"
+            if not white and not inside:
+                if word in cuts:
+                    parts.append("")
+                word += 1
+            inside = not white
+            parts[-1] += c
+        out += [(x, k == len(parts) - 1) for k, x in enumerate(parts)]
     return out
 
 
+def brute(rows, most=40):
+    """Texts after removal, by listing every run of every document: of 16 words, or of three whole sentences (up to so many parts)."""
+    seen, held = {}, {}
+    for doc, text in sorted(rows):
+        parts = plain_parts(text or "")
+        assert "".join(x for x, _ in parts) == (text or "")
+        real = [(k, " ".join(x.lower().split())) for k, (x, _) in enumerate(parts) if x.split()]
+        # A sentence ends at its last part with words.
+        sentence = [sum(e for _, e in parts[:k]) for k, _ in real]
+        start = [i == 0 or sentence[i] != sentence[i - 1] for i in range(len(real))]
+        stop = [i == len(real) - 1 or sentence[i] != sentence[i + 1] for i in range(len(real))]
+        gone = set()
+        for i in range(len(real)):
+            key, words, whole = 0, 0, 0
+            for j in range(i, min(len(real), i + most)):
+                key, words, whole = hash((key, real[j][1])), words + real[j][1].count(" ") + 1, whole + stop[j]
+                if (words >= 16 or start[i] and stop[j] and whole >= 3) and seen.setdefault((key, words), (doc, i)) != (doc, i):
+                    gone |= set(range(real[i][0], real[j][0] + 1))
+        held[doc] = None if text is None else "".join(x for k, (x, _) in enumerate(parts) if k not in gone)
+    return held
+
+
 def test_sentences_join_to_the_text():
     for text in ("", "a", "a. b! c?\nd", "...\n\n!! x", "no end\n", "é. ü"):
         assert "".join(spans.sentences(text)) == text
 
 
-def test_runs_have_enough_words():
-    parts = spans.sentences("One two three. Four five six. Seven eight nine. Ten eleven twelve thirteen. Last one.")
-    assert [(at, n) for _, at, n in spans.span_hashes(parts)] == [(0, 4), (1, 4)]
+def test_shortest_runs():
+    """From each part on and up to each the shortest run of 16 words, and three sentences of fewer."""
+    words, ends, owner = np.array([3, 3, 3, 4, 9, 9, 2, 2]), np.array([1, 1, 1, 1, 0, 1, 1, 1], bool), np.array([0] * 6 + [1] * 2)
+    first, last = spans.runs(words, ends, owner)
+    assert list(zip(first.tolist(), last.tolist(), strict=True)) == [(0, 2), (0, 4), (1, 3), (1, 4), (2, 4), (3, 5), (4, 5)]
+
+
+def test_short_passages_between_other_neighbours(make_docs):
+    """Three sentences of eleven words in all, the same in other texts, and of three words."""
+    short = "One two three four. Five six seven eight. Nine ten eleven. "
+    rows = [(1, f"Alpha beta gamma. {short}Delta epsilon."), (2, f"Zeta eta theta iota kappa. {short}Lambda mu."), (3, "Yes! No! Maybe! Quite another end."), (4, "First. Yes! No! Maybe! More words stand here.")]
+    got = {r.doc_id: r.text for r in spans.remove_repeats(make_docs(rows)).collect()}
+    assert got[1] == rows[0][1] and got[2] == "Zeta eta theta iota kappa. Lambda mu." and got[4] == "First. More words stand here." and got == brute(rows)
+
+
+def test_columns_with_names_of_counts(make_docs):
+    docs = make_docs([(1, PASSAGE), (2, PASSAGE)]).selectExpr("*", "'kept' AS n_removed", "7 AS N_Sentences")
+    rows = spans.remove_repeats(docs).collect()
+    assert {r["n_removed"] for r in rows} == {"kept"} and {r["N_Sentences"] for r in rows} == {7}
+    assert sorted(r["n_removed_"] for r in rows) == [0, 7] and {r["n_sentences_"] for r in rows} == {7}
+
+
+def test_many_chunks_and_buckets(spark, sf, monkeypatch, make_docs):
+    """Small buckets on the driver's side; chunks by partition: the result is the same."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    want = sorted((r.doc_id, r.text, r.n_removed) for r in spans.remove_repeats(docs.coalesce(1)).collect())
+    monkeypatch.setattr(spans, "BUCKET_SPANS", 100)
+    got = sorted((r.doc_id, r.text, r.n_removed) for r in spans.remove_repeats(docs.repartition(7)).collect())
+    assert got == want
 
 
 PASSAGE = " ".join(f"Sentence number {i} has some words of its own here." for i in range(7))
