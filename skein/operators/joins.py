@@ -70,11 +70,13 @@ def hint(graph: Graph, steps: list) -> str:
 def join_conditions(graph: Graph, pairs: list[tuple[str, str]], most_steps: int = 3) -> DataFrame:
     """Distinct `l = r` conditions of the cheapest paths between pairs of tables, of a few steps each.
 
-    The references are collected once for all pairs: a schema's, up to DRIVER_EDGES.
+    The references are collected once for all pairs: a schema's, up to DRIVER_EDGES; beyond, each pair is searched by joins.
     """
     edges = reference_edges(graph)
     if edges.count() > DRIVER_EDGES:
-        raise ValueError("too many references for a context pack")
+        few = [join_path(graph, a, b).where(F.col("step") <= most_steps + 1).collect() for a, b in pairs]
+        ends = (sorted((f"{s.from_table}.{s.from_column}", f"{s.to_table}.{s.to_column}")) for steps in few if len(steps) <= most_steps for s in steps)
+        return graph.spark.createDataFrame([(c,) for c in sorted({" = ".join(e) for e in ends})], "cond string")
     refs = edges.orderBy("ord").collect()
     ways: dict[str, list] = defaultdict(list)
     for e in refs:

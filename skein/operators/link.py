@@ -39,13 +39,10 @@ def innermost(points: DataFrame, ranges: DataFrame, contained_first: bool = Fals
     taken, and dropped if it has ended (a point after an inner range has none);
     contained_first drops ended ranges before the choice. An as-of search: ranges
     and points of a scope are sorted together and the start is carried on, so no
-    pair is formed; for contained_first only ranges that could hold a point are
-    joined, by equal scope.
+    pair is formed.
     """
     if contained_first:
-        held = points.join(ranges, "scope").where((F.col("low") <= F.col("at")) & (F.col("high") >= F.col("at")))
-        best = held.groupBy("point_id").agg(F.max(F.struct("low", "range_id")).alias("best"))
-        return points.select("point_id").join(best, "point_id", "left").select("point_id", F.col("best.range_id").alias("range_id"))
+        return containing(points, ranges)
     marks = ranges.select("scope", F.col("low").alias("at"), F.lit(0).alias("side"), F.lit(None).cast("long").alias("point_id"), F.struct("low", "range_id", "high").alias("range"))
     asks = points.select("scope", "at", F.lit(1).alias("side"), "point_id", F.lit(None).cast(marks.schema["range"].dataType).alias("range"))
     w = Window.partitionBy("scope").orderBy("at", "side", F.col("range.range_id")).rowsBetween(Window.unboundedPreceding, 0)
@@ -53,6 +50,50 @@ def innermost(points: DataFrame, ranges: DataFrame, contained_first: bool = Fals
     return carried.select("point_id", F.when(F.col("last.high") >= F.col("at"), F.col("last.range_id")).alias("range_id"))
 
 
+def containing(points: DataFrame, ranges: DataFrame) -> DataFrame:
+    """(point_id, range_id) of the range of the greatest (low, range_id) that holds each point.
+
+    A range longer than half of 2**k, and not longer than that, lies in one or two cells of
+    that size. In a half of a cell it has only one end: it holds the points from its start on,
+    or those up to its end. So in each half the best start of the ranges from the left, and of those
+    from the right, is carried along in order, and no pair of a range and a point is formed.
+    """
+    size = F.col("high") - F.col("low") + 1
+    level = F.when(size == 1, 0).otherwise(F.length(F.bin(size - 1)))
+    cut = ranges.where("low <= high").withColumn("level", level).withColumns({"cell": F.array_distinct(F.array(shifted("low", "level"), shifted("high", "level")))}).withColumn("cell", F.explode("cell"))
+    cut = cut.withColumn("width", F.expr("shiftleft(1L, level)")).withColumns({"begin": F.col("cell") * F.col("width"), "middle": F.col("cell") * F.col("width") + F.shiftright("width", 1)})
+    # Each end of a range within the cell, per half that the range reaches there.
+    starts, stops = F.col("low") >= F.col("begin"), F.col("high") < F.col("begin") + F.col("width")
+    inner = starts & stops
+    pieces = F.filter(F.array(
+        F.when(starts & (F.col("low") < F.col("middle")), F.struct(F.lit(0).alias("half"), F.lit("from").alias("kind"), F.col("low").alias("at"))),
+        F.when(starts & ~inner, F.struct(F.lit(1).alias("half"), F.lit("from").alias("kind"), F.col("low").alias("at"))),
+        F.when(~starts, F.struct(F.lit(0).alias("half"), F.lit("to").alias("kind"), F.col("high").alias("at"))),
+        F.when((F.col("high") >= F.col("middle")) & stops, F.struct(F.lit(1).alias("half"), F.lit("to").alias("kind"), F.col("high").alias("at"))),
+    ), lambda x: x.isNotNull())
+    best = F.struct("low", "range_id")
+    marks = cut.select("scope", "level", "cell", F.explode(pieces).alias("p"), best.alias("best")).select("scope", "level", "cell", "p.half", "p.kind", "p.at", "best", F.lit(None).cast("long").alias("point_id"))
+    # There are as many levels as bits at most.
+    levels = sorted(r.level for r in cut.select("level").distinct().collect())
+    if not levels:
+        return points.select("point_id", F.lit(None).cast(ranges.schema["range_id"].dataType).alias("range_id"))
+    asked = points.select("point_id", "scope", "at", F.explode(F.array(*map(F.lit, levels))).alias("level")).withColumn("cell", shifted("at", "level"))
+    half = F.when(F.col("level") == 0, 1).otherwise(F.expr("shiftright(at, level - 1)") % 2)
+    asked = asked.withColumn("half", F.pmod(half, F.lit(2)).cast("int"))
+    both = asked.select("scope", "level", "cell", "half", F.explode(F.array(F.lit("from"), F.lit("to"))).alias("kind"), "at", F.lit(None).cast(marks.schema["best"].dataType).alias("best"), "point_id")
+    # Starts are passed from the left, ends from the right; at one place marks come before points.
+    line = F.when(F.col("kind") == "from", F.col("at")).otherwise(-F.col("at"))
+    w = Window.partitionBy("scope", "level", "cell", "half", "kind").orderBy(line, F.col("point_id").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    held = marks.unionByName(both).withColumn("held", F.max("best").over(w)).where("point_id IS NOT NULL")
+    found = held.groupBy("point_id").agg(F.max("held").alias("best"))
+    return points.select("point_id").join(found, "point_id", "left").select("point_id", F.col("best.range_id").alias("range_id"))
+
+
+def shifted(at: str, level: str) -> Column:
+    """The cell of 2**level places that holds a place."""
+    return F.expr(f"shiftright(CAST({at} AS BIGINT), {level})")
+
+
 def co_change(baskets: DataFrame, **limits) -> DataFrame:
     """(a, b, count, ratio, band) of items that share baskets (basket, item) often enough.
 
@@ -60,8 +101,9 @@ def co_change(baskets: DataFrame, **limits) -> DataFrame:
     """
     p = CO_CHANGE | limits
     items = baskets.distinct()
-    size = Window.partitionBy("basket")
-    fit = items.withColumn("size", F.count("*").over(size)).where(F.col("size").between(p["least_basket"], p["most_basket"])).select("basket", "item")
+    # Sizes are combined before the shuffle, so a huge basket is dropped without being gathered.
+    fits = items.groupBy("basket").agg(F.count("*").alias("size")).where(F.col("size").between(p["least_basket"], p["most_basket"]))
+    fit = items.join(fits, "basket", "left_semi")
     grouped = fit.groupBy("basket").agg(F.array_sort(F.collect_list("item")).alias("items"))
     pairs = grouped.select(F.explode(F.flatten(F.transform("items", lambda x, i: F.transform(F.slice(F.col("items"), i + 2, p["most_basket"]), lambda y: F.struct(x.alias("a"), y.alias("b")))))).alias("p")).select("p.a", "p.b")
     counts = pairs.groupBy("a", "b").agg(F.count("*").alias("count")).where(F.col("count") >= p["least_count"])
@@ -103,15 +145,16 @@ def route_matches(calls: DataFrame, routes: DataFrame, least_relative: int = 2)
 
     calls (call_id, file, method, path, relative), routes (route_id, file, method, path).
     Segments are compared from the end over the shorter path; a `:` segment fits
-    any. Calls are first reduced to distinct requests, and routes meet them by
-    their last segment (or by having a wildcard there), not all with all.
+    any. Calls are first reduced to distinct requests. They meet routes by the first literal
+    from the end of either: where both have it at one place, the literals are equal; else what
+    the one has at the other's place is that literal, a wildcard, or nothing.
     """
     tail = lambda c: F.reverse(path_segments(c))
-    distinct = calls.select("method", "path", "file", "relative").distinct().withColumn("tail", tail(F.col("path")))
+    distinct = calls.select("method", "path", "file", "relative").distinct().withColumn("tail", tail(F.col("path"))).where(F.size("tail") > 0)
     known = routes.select("route_id", F.col("file").alias("route_file"), F.col("method").alias("route_method"), tail(F.col("path")).alias("route_tail")).where(F.size("route_tail") > 0)
-    key = lambda t: F.when(F.element_at(t, 1).startswith(":"), "*").otherwise(F.element_at(t, 1))
-    asked = distinct.where(F.size("tail") > 0).withColumn("k", F.explode(F.when(key(F.col("tail")) == "*", F.array(F.lit("*any"))).otherwise(F.array(F.element_at("tail", 1), F.lit("*")))))
-    offered = known.withColumn("k", F.explode(F.array(key(F.col("route_tail")), F.lit("*any"))))
+    longest = max(df.agg(F.max(F.size(c)).alias("n")).first().n or 1 for df, c in ((distinct, "tail"), (known, "route_tail")))
+    asked = distinct.withColumn("k", F.explode(meeting_keys(F.col("tail"), "call", "route", longest)))
+    offered = known.withColumn("k", F.explode(meeting_keys(F.col("route_tail"), "route", "call", longest)))
     met = asked.join(offered, "k").where((F.col("file") != F.col("route_file")) & ((F.col("method") == F.col("route_method")) | (F.coalesce("method", F.lit("")) == "") | (F.coalesce("route_method", F.lit("")) == "")))
     n = F.least(F.size("tail"), F.size("route_tail"))
     fits = F.forall(F.zip_with(F.slice(F.col("tail"), 1, n), F.slice(F.col("route_tail"), 1, n), lambda x, y: (x == y) | x.startswith(":") | y.startswith(":")), lambda ok: ok)
@@ -122,6 +165,25 @@ def route_matches(calls: DataFrame, routes: DataFrame, least_relative: int = 2)
     return calls.join(top.withColumnsRenamed({k: f"t_{k}" for k in keys}), F.expr(" AND ".join(f"{k} <=> t_{k}" for k in keys))).select("call_id", "route_id", "score")
 
 
+def meeting_keys(tail: Column, own: str, other: str, longest: int) -> Column:
+    """Keys of a path's segments from the end, by which it meets all that may fit it, and each of these once.
+
+    at: the place of its first literal, beyond the longest path if all are wildcards.
+    """
+    literal = F.transform(F.sequence(F.lit(1), F.size(tail)), lambda i: F.when(~F.element_at(tail, i.cast("int")).startswith(":"), i))
+    at = F.coalesce(F.array_min(literal), F.lit(longest + 1))
+    word = F.try_element_at(tail, at)
+    seen = lambda i: F.when(i > F.size(tail), "/short").when(F.element_at(tail, F.least(i, F.size(tail)).cast("int")).startswith(":"), "/any").otherwise(F.element_at(tail, F.least(i, F.size(tail)).cast("int")))
+    key = lambda first, a, b, x: F.concat_ws(" ", F.lit(first), a.cast("string"), b.cast("string"), x)
+    same = F.array(key("both", at, at, F.coalesce(word, F.lit("/none"))))
+    # The other's first literal is further on: what this one has there.
+    later = F.transform(F.filter(F.sequence(F.lit(1), F.lit(longest + 1)), lambda i: i > at), lambda i: key(own, at, i, F.when(i > longest, "/none").otherwise(seen(i))))
+    # This one's is further on: the other may have the same there, a wildcard, or nothing.
+    before = F.filter(F.sequence(F.lit(1), F.lit(longest + 1)), lambda i: i < at)
+    sooner = F.flatten(F.transform(before, lambda i: F.when(at > longest, F.array(key(other, i, at, F.lit("/none")))).otherwise(F.array(*[key(other, i, at, x) for x in (F.coalesce(word, F.lit("/none")), F.lit("/any"), F.lit("/short"))]))))
+    return F.concat(same, later, sooner)
+
+
 def path_segments(path: Column) -> Column:
     return F.filter(F.split(path, "/"), lambda x: x != "")
 
@@ -184,15 +246,20 @@ def resolve_exports(exports: DataFrame, rounds: int = 5) -> DataFrame:
     return known
 
 
-def shared_state(accesses: DataFrame) -> DataFrame:
-    """(id, state, kind, others): of each function and state it touches, which others read or write it.
+def shared_state(accesses: DataFrame, most: int = 6) -> DataFrame:
+    """(id, state, kind, n_others, others): of each function and state it touches, how many others read or write it, and the first of them.
 
-    accesses (id, state, kind). Others are gathered once for each state and looked
-    up; no pair of functions is formed.
+    accesses (id, state, kind). A state and kind make a class; its size and its first members are
+    found once and looked up by each member, so a state that all functions touch costs each of them one row.
     """
     every = accesses.distinct()
-    peers = every.groupBy("state", "kind").agg(F.array_sort(F.collect_set("id")).alias("ids"))
-    return every.select("id", "state").distinct().join(peers, "state").select("id", "state", "kind", F.filter("ids", lambda x: x != F.col("id")).alias("others")).where(F.size("others") > 0)
+    w = Window.partitionBy("state", "kind").orderBy("id")
+    sizes = every.groupBy("state", "kind").agg(F.count("*").alias("n"))
+    first = every.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most + 1).groupBy("state", "kind").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    classes = sizes.join(first, ["state", "kind"])
+    own = every.groupBy("id", "state").agg(F.collect_set("kind").alias("kinds"))
+    rows = own.join(classes, "state").withColumn("n_others", F.col("n") - F.array_contains("kinds", F.col("kind")).cast("long")).where("n_others > 0")
+    return rows.select("id", "state", "kind", "n_others", F.slice(F.filter("ids", lambda x: x != F.col("id")), 1, most).alias("others"))
 
 
 def sibling_copies(files: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skein.shared import written
+
 MAX_FILE = 2 << 20
 
 
@@ -40,9 +42,25 @@ def tree(paths: DataFrame, prefix: str = "", depth: int = 0) -> DataFrame:
 
 
 def budget_cut(rows: DataFrame, size: str, order: list, budget: int, group: str | None = None) -> DataFrame:
-    """The rows that are reached before the sizes of those in front of them exceed the budget."""
-    w = (Window.partitionBy(group) if group else Window.partitionBy(F.lit(0))).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("used", F.coalesce(F.sum(size).over(w), F.lit(0))).where(F.col("used") <= budget)
+    """The rows that are reached before the sizes of those in front of them exceed the budget.
+
+    Without groups rows are sorted by ranges; each range's size tells which ranges the budget reaches.
+    """
+    if group:
+        w = Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        return rows.withColumn("used", F.coalesce(F.sum(size).over(w), F.lit(0))).where(F.col("used") <= budget)
+    line = written(rows.orderBy(*order).withColumn("skein_range", F.spark_partition_id()), "line")
+    before, used = {}, 0
+    for r in line.groupBy("skein_range").agg(F.sum(size).alias("n")).orderBy("skein_range").collect():  # one row for each range
+        if used > budget:
+            break
+        before[r.skein_range], used = used, used + (r.n or 0)
+    if not before:
+        return rows.withColumn("used", F.lit(0).cast("long")).limit(0)
+    w = Window.partitionBy("skein_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    base = F.create_map(*[F.lit(x) for k, v in before.items() for x in (k, v)])[F.col("skein_range")]
+    reached = line.where(F.col("skein_range").isin(list(before)))
+    return reached.withColumn("used", F.coalesce(F.sum(size).over(w), F.lit(0)) + base).where(F.col("used") <= budget).drop("skein_range")
 
 
 def coverage_gap(texts: DataFrame, name: str, wired: DataFrame) -> DataFrame:

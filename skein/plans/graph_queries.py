@@ -7,8 +7,8 @@ from itertools import combinations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.model import age, dedupe_edges, dialect
-from skein.operators import diff, joins, paths, report, scan
+from skein.model import Graph, age, dedupe_edges, dialect, short_id
+from skein.operators import diff, joins, paths, report, scan, text
 from skein.plans.registry import query, table
 from skein.sources import catalog
 
@@ -91,10 +91,14 @@ def join_pairs_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH RECURSIVE {ROWS_SQL}, u AS (SELECT src a, dst b FROM e UNION SELECT dst, src FROM e),
 bfs(id, level) USING KEY (id) AS (SELECT 'region:0', 0 UNION SELECT u.b, bfs.level + 1 FROM bfs JOIN u ON u.a = bfs.id WHERE bfs.level < 6 AND u.b NOT IN (SELECT id FROM recurring.bfs))
-SELECT level AS hops FROM bfs WHERE id = 'part:1'""")
+SELECT level AS hops, level AS linked FROM bfs WHERE id = 'part:1'""")
 def shortest_path_row(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = paths.shortest_path(row_edges(spark, sf_dir), "region:0", "part:1")
-    return spark.createDataFrame([(len(path) - 1,)], "hops int")
+    """How many hops the path has, and how many of them are edges."""
+    edges = row_edges(spark, sf_dir)
+    path = paths.shortest_path(edges, "region:0", "part:1")
+    hops = spark.createDataFrame(list(zip(path, path[1:], strict=False)), "a string, b string")
+    linked = edges.join(F.broadcast(hops), F.expr("src = a AND dst = b OR src = b AND dst = a")).select("a", "b").distinct()
+    return linked.agg(F.lit(len(path) - 1).alias("hops"), F.count("*").cast("int").alias("linked"))
 
 
 def region_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,8 +158,7 @@ def enum_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT doc_id, used FROM (SELECT doc_id, coalesce(sum(octet_length(encode(text))) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS used FROM documents) WHERE used <= 16384""")
 def context_budget_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.octet_length("text").cast("long").alias("size"))
-    # Sizes of the first documents alone can fill the budget: 16384 + 1 texts of a byte.
-    return scan.budget_cut(docs.orderBy("doc_id").limit(16385), "size", ["doc_id"], 16384).select("doc_id", "used")
+    return scan.budget_cut(docs, "size", ["doc_id"], 16384).select("doc_id", "used")
 
 
 @query("""SELECT id, attrs FROM (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 5 = 0 THEN 'entity_note=late;status=' || CASE WHEN o_orderkey % 2 = 0 THEN 'X' ELSE o_orderstatus END ELSE 'status=' || o_orderstatus END AS attrs FROM orders)""")
@@ -174,9 +177,70 @@ def orphan_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diff.orphan_annotations(ids.where("id % 7 = 0").unionByName(spark.range(-5, 0)), ids, ids.where("id % 3 <> 0"))
 
 
-@query("""WITH r AS (SELECT p_partkey AS route, p_brand AS file, p_type AS handler, p_size AS ord FROM part)
-SELECT file, handler, count(*) AS n, string_agg(route::VARCHAR, ',' ORDER BY ord, route) FILTER (WHERE ord % 2 = 0) AS middleware, min(route) FILTER (WHERE ord % 2 = 1) AS first_route FROM r GROUP BY file, handler""")
+def code_graph(spark: SparkSession, sf_dir: str) -> Graph:
+    """Parts as routes and as models, their types as handlers, suppliers as middleware and callers."""
+    none = F.create_map().cast("map<string,string>")
+    attrs = lambda **kv: F.create_map(*[x for k, v in kv.items() for x in (F.lit(k), v.cast("string"))])
+    part, lines = table(spark, sf_dir, "part"), table(spark, sf_dir, "lineitem").groupBy("l_partkey", "l_suppkey").agg(F.min("l_linenumber").cast("long").alias("line"))
+    key = lambda c, p: F.concat(F.lit(p), F.col(c).cast("string"))
+    nodes = part.select(key("p_partkey", "route:").alias("id"), F.lit("route").alias("type"), "p_name", attrs(file=F.col("p_brand"), line_start=F.col("p_size"), method=F.when(F.col("p_size") % 2 == 0, "GET").otherwise(""), path=key("p_partkey", "/p/")).alias("attrs"))
+    renamed = F.concat_ws(", ", F.lit("id"), F.concat("p_name", F.lit("→"), F.col("p_size").cast("string")), F.concat("p_type", F.lit("→kind")))
+    nodes = nodes.union(part.select(key("p_partkey", "model:"), F.lit("model"), F.concat("p_name", F.lit(" "), "p_partkey"), attrs(file=F.col("p_brand"), table=F.col("p_type"), field_count=F.col("p_size"), fields=renamed)))
+    nodes = nodes.union(part.select("p_type").distinct().select(key("p_type", "func:"), F.lit("function"), "p_type", none))
+    nodes = nodes.union(table(spark, sf_dir, "supplier").select(key("s_suppkey", "func:s"), F.lit("function"), "s_name", attrs(file=F.concat(F.lit("s"), F.col("s_nationkey").cast("string")))))
+    edges = part.select(key("p_partkey", "route:").alias("src"), key("p_type", "func:").alias("dst"), F.lit("HANDLED_BY").alias("type"), none.alias("attrs"), F.col("p_partkey").cast("long").alias("ord"))
+    edges = edges.union(lines.select(key("l_partkey", "route:"), key("l_suppkey", "func:s"), F.lit("USES_MIDDLEWARE"), attrs(order=F.col("line")), F.col("l_suppkey")))
+    edges = edges.union(lines.select(key("l_suppkey", "func:s"), key("l_partkey", "route:"), F.lit("CALLS_ENDPOINT"), attrs(line=F.col("line")), F.col("l_suppkey")))
+    edges = edges.union(lines.where("line > 3").select(key("l_partkey", "model:"), key("l_suppkey", "func:s"), F.lit("REFERENCES"), attrs(kind=F.concat(F.lit("has"), F.col("line").cast("string"))), F.col("l_suppkey")))
+    return Graph(nodes.toDF("id", "type", "name", "attrs"), edges, "codebase:tables")
+
+
+LINES_SQL = "li AS (SELECT l_partkey, l_suppkey, min(l_linenumber) AS line FROM lineitem GROUP BY 1, 2), s AS (SELECT l_partkey, l_suppkey, line, s_name, 's' || s_nationkey AS file FROM li JOIN supplier ON s_suppkey = l_suppkey)"
+
+
+@query(f"""WITH {LINES_SQL}, m AS (SELECT l_partkey, string_agg(s_name, ', ' ORDER BY line, l_suppkey) AS middleware, list_sort(list(DISTINCT s_name || ' (' || file || ':' || line || ')')) AS c FROM s GROUP BY 1)
+SELECT p_brand AS file, p_size AS line, CASE WHEN p_size % 2 = 0 THEN 'GET' ELSE 'ANY' END AS method, '/p/' || p_partkey AS path, p_type AS handler, coalesce(middleware, '') AS middleware, '' AS models,
+coalesce(array_to_string(c[1:6], ', ') || CASE WHEN len(c) > 6 THEN ' … +' || (len(c) - 6) || ' more' ELSE '' END, '') AS callers FROM part LEFT JOIN m ON l_partkey = p_partkey""")
 def routes_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "part").selectExpr("p_partkey AS route", "p_brand AS file", "p_type AS handler", "p_size AS ord")
-    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("ord") % 2 == 0, F.struct("ord", "route")))), lambda x: x["route"].cast("string")), ",")
-    return rows.groupBy("file", "handler").agg(F.count("*").alias("n"), F.nullif(listed, F.lit("")).alias("middleware"), F.min(F.when(F.col("ord") % 2 == 1, F.col("route"))).alias("first_route"))
+    return report.routes(code_graph(spark, sf_dir)).withColumn("middleware", F.coalesce("middleware", F.lit("")))
+
+
+@query(f"""WITH {LINES_SQL}, m AS (SELECT l_partkey, list_sort(list('has' || line || ' ' || s_name)) AS c FROM s WHERE line > 3 GROUP BY 1)
+SELECT p_brand AS file, p_name || ' ' || p_partkey AS name, p_type AS "table", p_size AS field_count, p_name || '→' || p_size || ', ' || p_type || '→kind' AS renamed,
+coalesce(array_to_string(c[1:10], ', ') || CASE WHEN len(c) > 10 THEN ' … +' || (len(c) - 10) || ' more' ELSE '' END, '') AS associations FROM part LEFT JOIN m ON l_partkey = p_partkey""")
+def models_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.models(code_graph(spark, sf_dir))
+
+
+@query("""WITH li AS (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem) SELECT p_partkey AS id, 'route ' || p_name || '.' AS head FROM part""")
+def route_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = text.node_texts(code_graph(spark, sf_dir)).where("type = 'route'")
+    return found.select(F.substring("id", 7, 99).cast("long").alias("id"), F.regexp_extract("text", r"^([^.]*[.])", 1).alias("head"))
+
+
+@query("""SELECT n_regionkey::VARCHAR AS type, n_name AS name, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_name) AS place FROM nation""")
+def nodes_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every type's nodes in the order of names."""
+    nation = table(spark, sf_dir, "nation").selectExpr("concat('nation:', n_nationkey) AS id", "CAST(n_regionkey AS STRING) AS type", "n_name AS name", "CAST(map() AS map<string,string>) AS attrs")
+    graph = Graph(nation, spark.createDataFrame([], "src string, dst string, type string, attrs map<string,string>, ord bigint"))
+    out = None
+    for kind in sorted(r.type for r in nation.select("type").distinct().collect()):
+        rows = [(kind, r.name, i) for i, r in enumerate(graph.nodes_by_type(kind).collect(), 1)]
+        part = spark.createDataFrame(rows, "type string, name string, place long")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("""WITH gone AS (SELECT s_suppkey AS id FROM supplier WHERE s_acctbal < 0) SELECT l_suppkey AS src, l_partkey AS dst FROM lineitem WHERE l_suppkey NOT IN (SELECT id FROM gone) AND l_suppkey IN (SELECT s_suppkey FROM supplier)""")
+def remove_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edges that are left when the suppliers in debt are removed."""
+    supplier = table(spark, sf_dir, "supplier").selectExpr("concat('s', s_suppkey) AS id", "'supplier' AS type", "s_name AS name", "map('balance', CAST(s_acctbal AS STRING)) AS attrs")
+    edges = table(spark, sf_dir, "lineitem").selectExpr("concat('s', l_suppkey) AS src", "concat('p', l_partkey) AS dst", "'SUPPLIES' AS type", "CAST(map() AS map<string,string>) AS attrs", "l_orderkey AS ord")
+    left = Graph(supplier, edges).remove_nodes_where(F.col("attrs")["balance"].cast("double") < 0)
+    return left.edges.select(F.substring("src", 2, 99).cast("long").alias("src"), F.substring("dst", 2, 99).cast("long").alias("dst"))
+
+
+@query("""SELECT 'public.' || p_name AS id, p_name AS short FROM part UNION ALL SELECT 'column:public.orders.' || p_type, 'orders.' || p_type FROM part UNION ALL SELECT 'endpoint:GET /' || p_partkey, 'GET /' || p_partkey FROM part""")
+def short_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = F.explode(F.array(F.concat(F.lit("public."), "p_name"), F.concat(F.lit("column:public.orders."), "p_type"), F.concat(F.lit("endpoint:GET /"), F.col("p_partkey").cast("string"))))
+    return table(spark, sf_dir, "part").select(ids.alias("id")).select("id", short_id(F.col("id")).alias("short"))

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from skein.operators import link
 from skein.plans.registry import query, table
 
-USES = "u AS (SELECT p_partkey AS use_id, p_name AS name, p_brand AS scope, p_size % 2 = 0 AS local FROM part), c AS (SELECT p_partkey AS id, p_name AS name, p_brand AS scope, p_retailprice AS ord FROM part WHERE p_partkey % 11 = 0 AND p_partkey % 64 < 50)"
+#: Names are a part's name and size; where something is defined, the size counts from the other end, and half of the definitions are in a scope of no use.
+USES = """u AS (SELECT p_partkey AS use_id, p_name || ' ' || p_brand || p_size AS name, p_brand AS scope, p_size % 2 = 0 AS local FROM part),
+c AS (SELECT p_partkey AS id, p_name || ' ' || p_brand || (51 - p_size) AS name, CASE WHEN p_size > 25 THEN p_brand ELSE p_type END AS scope, p_retailprice AS ord FROM part)"""
 RESOLVED = f"""{USES}, named AS (SELECT name, count(*) n, min(id) o FROM c GROUP BY name), near AS (SELECT name, scope, arg_min(id, (ord, id)) i FROM c GROUP BY 1, 2),
 r AS (SELECT use_id, name, local, coalesce(i, CASE WHEN NOT local AND n = 1 THEN o END) AS target, n FROM u LEFT JOIN near USING (name, scope) LEFT JOIN named USING (name)),
 s AS (SELECT use_id, name, local, target, CASE WHEN target IS NOT NULL THEN 'resolved' WHEN n > 1 THEN 'ambiguous' ELSE 'unresolved' END AS status FROM r)"""
@@ -16,8 +18,8 @@ s AS (SELECT use_id, name, local, target, CASE WHEN target IS NOT NULL THEN 'res
 
 def uses_and_candidates(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     part = table(spark, sf_dir, "part")
-    uses = part.selectExpr("p_partkey AS use_id", "p_name AS name", "p_brand AS scope", "p_size % 2 = 0 AS local")
-    found = part.where("p_partkey % 11 = 0 AND p_partkey % 64 < 50").selectExpr("p_partkey AS id", "p_name AS name", "p_brand AS scope", "struct(p_retailprice, p_partkey) AS ord")
+    uses = part.selectExpr("p_partkey AS use_id", "concat(p_name, ' ', p_brand, p_size) AS name", "p_brand AS scope", "p_size % 2 = 0 AS local")
+    found = part.selectExpr("p_partkey AS id", "concat(p_name, ' ', p_brand, 51 - p_size) AS name", "IF(p_size > 25, p_brand, p_type) AS scope", "struct(p_retailprice, p_partkey) AS ord")
     return uses, found
 
 
@@ -26,10 +28,10 @@ def unique_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link.resolve_names(*uses_and_candidates(spark, sf_dir))
 
 
-@query(f"WITH {RESOLVED} SELECT DISTINCT 'call:' || name AS id, name FROM s WHERE status = 'unresolved' AND NOT local AND name <> 'red widget'")
+@query(f"WITH {RESOLVED} SELECT DISTINCT 'call:' || name AS id, name FROM s WHERE status = 'unresolved' AND NOT local AND name <> 'red widget Brand#1111'")
 def stub_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     uses, candidates = uses_and_candidates(spark, sf_dir)
-    return link.stubs(uses, link.resolve_names(uses, candidates), spark.createDataFrame([("red widget",)], "name string"))
+    return link.stubs(uses, link.resolve_names(uses, candidates), spark.createDataFrame([("red widget Brand#1111",)], "name string"))
 
 
 RANGES = "r AS (SELECT o_orderkey AS range_id, o_custkey % 50 AS scope, o_orderkey % 1000 AS low, o_orderkey % 1000 + o_custkey % 40 AS high FROM orders), p AS (SELECT event_id AS point_id, user_id % 50 AS scope, event_id % 1000 AS \"at\" FROM events)"
@@ -115,17 +117,17 @@ def route_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH f AS (SELECT page_id AS id, regexp_extract(url, '://[^/?#]*/([^?#]*)', 1) AS path FROM pages),
-t AS (SELECT DISTINCT id AS doc, CASE id % 3 WHEN 0 THEN path WHEN 1 THEN regexp_extract(path, '([^/]*/?)$', 1) ELSE 'red widget' END AS token FROM f),
+t AS (SELECT DISTINCT id AS doc, CASE id % 3 WHEN 0 THEN path WHEN 1 THEN regexp_extract(path, '([^/]*/?)$', 1) ELSE 'part ' || (9000 + id % 1200) END AS token FROM f),
 s AS (SELECT id, array_to_string(p[i:], '/') AS token FROM (SELECT id, string_split(path, '/') AS p FROM f), range(2, 20) r(i) WHERE i <= len(p)),
-n AS (SELECT p_partkey AS id, p_name AS token, p_partkey % 2 AS rank FROM part WHERE p_partkey < 150),
+n AS (SELECT p_partkey AS id, 'part ' || (p_retailprice * 10)::INT AS token, p_partkey % 2 AS rank FROM part),
 h AS (SELECT doc, token, id, 0 AS tier FROM t JOIN (SELECT id, path AS token FROM f) USING (token) UNION ALL SELECT doc, token, id, 1 FROM t JOIN s USING (token) WHERE regexp_matches(token, '[/.]')
   UNION ALL SELECT doc, token, id, rank + 2 FROM t JOIN n USING (token) WHERE NOT regexp_matches(token, '[/.]')),
 b AS (SELECT doc, token, min(tier) AS tier FROM h GROUP BY 1, 2), d AS (SELECT DISTINCT h.* FROM h JOIN b USING (doc, token, tier))
 SELECT doc, token, id AS target, tier::INT AS tier FROM d WHERE (doc, token) IN (SELECT (doc, token) FROM d GROUP BY doc, token HAVING count(*) <= 3)""")
 def mention_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.regexp_extract("url", "://[^/?#]*/([^?#]*)", 1).alias("path"))
-    token = F.when(F.col("id") % 3 == 0, F.col("path")).when(F.col("id") % 3 == 1, F.regexp_extract("path", "([^/]*/?)$", 1)).otherwise("red widget")
-    names = table(spark, sf_dir, "part").where("p_partkey < 150").selectExpr("p_partkey AS id", "p_name AS name", "CAST(p_partkey % 2 AS INT) AS rank")
+    token = F.when(F.col("id") % 3 == 0, F.col("path")).when(F.col("id") % 3 == 1, F.regexp_extract("path", "([^/]*/?)$", 1)).otherwise(F.concat(F.lit("part "), F.lit(9000) + F.col("id") % 1200))
+    names = table(spark, sf_dir, "part").selectExpr("p_partkey AS id", "concat('part ', CAST(round(p_retailprice * 10) AS INT)) AS name", "CAST(p_partkey % 2 AS INT) AS rank")
     return link.mention_targets(files.select(F.col("id").alias("doc"), token.alias("token")), files, names)
 
 
@@ -137,23 +139,33 @@ def dispatch_first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link.dispatch_links(registered, events.where("event_type = 'click'").select(F.col("user_id").alias("caller_id"), "key", F.col("event_id").alias("ord")))
 
 
-EXPORTS = [("a", "x", "", "", False), ("a", "y", "", "", False), ("b", "z", "a", "x", False), ("c", "", "b", "", True), ("c", "", "a", "", True), ("d", "w", "c", "z", False), ("e", "", "d", "", True), ("f", "", "e", "", True), ("b", "y", "", "", False), ("g", "q", "h", "q", False), ("h", "q", "g", "q", False)]
-
-
-@query("""WITH k(file, name, target_file, target_name) AS (VALUES ('a', 'x', 'a', 'x'), ('a', 'y', 'a', 'y'), ('b', 'y', 'b', 'y'), ('b', 'z', 'a', 'x'), ('c', 'x', 'a', 'x'), ('c', 'y', 'a', 'y'), ('c', 'z', 'a', 'x'), ('d', 'w', 'a', 'x'), ('e', 'w', 'a', 'x'), ('f', 'w', 'a', 'x')) SELECT * FROM k""")
+@query("""WITH RECURSIVE own AS (SELECT p_partkey AS file, p_name AS name FROM part),
+k(file, name, target_file, target_name, depth) AS (SELECT file, name, file, name, 0 FROM own
+  UNION ALL SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN k.name ELSE 'as ' || k.name END, target_file, target_name, depth + 1 FROM k JOIN part ON p_partkey // 3 = k.file AND p_partkey <> k.file
+    WHERE depth < 5 AND (p_size % 2 = 0 OR k.name = (SELECT name FROM own WHERE own.file = k.file))),
+b AS (SELECT file, name, target_file, target_name, row_number() OVER (PARTITION BY file, name ORDER BY depth, target_file, target_name) AS n FROM k)
+SELECT file, name, target_file, target_name FROM b WHERE n = 1""")
 def reexport_fixpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    blank = lambda c: F.nullif(F.col(c), F.lit("")).alias(c)
-    exports = spark.createDataFrame(EXPORTS, "file string, name string, source_file string, source_name string, star boolean")
-    return link.resolve_exports(exports.select("file", "name", blank("source_file"), blank("source_name"), "star"))
-
-
-@query("""WITH a AS (SELECT DISTINCT user_id AS id, regexp_extract(props, '"k": (\\d+)', 1) AS state, CASE WHEN event_type IN ('view', 'click') THEN 'READS' ELSE 'WRITES' END AS kind FROM events WHERE event_type <> 'error')
-SELECT x.id, x.state, y.kind, string_agg(DISTINCT y.id::VARCHAR, ',' ORDER BY y.id::VARCHAR) AS others FROM (SELECT DISTINCT id, state FROM a) x JOIN a y ON x.state = y.state AND x.id <> y.id GROUP BY ALL""")
+    """Each part is a file that defines its name; it passes on all names of the part of a third of its key, or that part's own name as another."""
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("file"), (F.col("p_partkey") / 3).cast("long").cast("string").alias("source_file"), "p_name", F.col("p_size") % 2 == 0)
+    part = part.toDF("file", "source_file", "name", "star")
+    nothing = F.lit(None).cast("string")
+    own = part.select("file", "name", nothing.alias("source_file"), nothing.alias("source_name"), F.lit(False).alias("star"))
+    source = part.select(F.col("file").alias("source_file"), F.col("name").alias("source_name"))
+    passed = part.where("file <> source_file").drop("name").join(source, "source_file").select("file", F.when(F.col("star"), nothing).otherwise(F.concat(F.lit("as "), "source_name")).alias("name"), "source_file", "source_name", "star")
+    found = link.resolve_exports(own.unionByName(passed))
+    return found.select(F.col("file").cast("long").alias("file"), "name", F.col("target_file").cast("long").alias("target_file"), "target_name")
+
+
+@query("""WITH a AS (SELECT DISTINCT user_id AS id, regexp_extract(props, '"k": (\\d+)', 1) AS state, CASE WHEN event_type IN ('view', 'click') THEN 'READS' ELSE 'WRITES' END AS kind FROM events WHERE event_type <> 'error'),
+n AS (SELECT state, kind, list_sort(list(id::VARCHAR)) AS ids FROM a GROUP BY 1, 2), p AS (SELECT DISTINCT id, state FROM a)
+SELECT id, state, kind, (len(ids) - list_contains(ids, id::VARCHAR)::INT)::BIGINT AS n_others, array_to_string(list_filter(ids, lambda x: x <> id::VARCHAR)[1:6], ',') AS others
+FROM p JOIN n USING (state) WHERE len(ids) > list_contains(ids, id::VARCHAR)::INT""")
 def shared_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").where("event_type <> 'error'")
     accesses = events.select(F.col("user_id").cast("string").alias("id"), F.get_json_object("props", "$.k").alias("state"), F.when(F.col("event_type").isin("view", "click"), "READS").otherwise("WRITES").alias("kind"))
     found = link.shared_state(accesses)
-    return found.select(F.col("id").cast("long").alias("id"), "state", "kind", F.array_join("others", ",").alias("others"))
+    return found.select(F.col("id").cast("long").alias("id"), "state", "kind", "n_others", F.array_join("others", ",").alias("others"))
 
 
 @query("""WITH d AS (SELECT source AS basename, sha256(text) AS hash, doc_id FROM documents), a AS (SELECT basename, count(*) AS all_n FROM d GROUP BY 1)
@@ -162,10 +174,10 @@ def copies_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link.sibling_copies(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("basename"), F.sha2("text", 256).alias("hash")))
 
 
-@query("""WITH u AS (SELECT DISTINCT page_id AS file, c AS token FROM pages, unnest(regexp_extract_all(html, 'href="/([^"]*)"', 1)) t(c)), d AS (SELECT DISTINCT p_partkey AS css, p_name AS token FROM part WHERE false
-  UNION ALL SELECT DISTINCT page_id, c FROM pages, unnest(regexp_extract_all(html, '<a href="/([^"]*)"', 1)) t(c) WHERE page_id % 5 = 0), k AS (SELECT token FROM d GROUP BY token HAVING count(*) <= 3)
+@query("""WITH u AS (SELECT DISTINCT page_id AS file, regexp_extract(url, '/([0-9]+)[^/]*$', 1) AS token FROM pages), d AS (SELECT s_suppkey AS css, s_suppkey::VARCHAR AS token FROM supplier
+  UNION SELECT s_suppkey, (s_suppkey + s_nationkey)::VARCHAR FROM supplier UNION SELECT s_suppkey, s_nationkey::VARCHAR FROM supplier), k AS (SELECT token FROM d GROUP BY token HAVING count(*) <= 3)
 SELECT file, css, substr(string_agg(DISTINCT token, ',' ORDER BY token), 1, 200) AS selectors FROM u JOIN d USING (token) WHERE file <> css AND token IN (SELECT token FROM k) GROUP BY 1, 2""")
 def style_wiring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages")
-    used = pages.select(F.col("page_id").alias("file"), F.explode(F.regexp_extract_all("html", F.lit('href="/([^"]*)"'), F.lit(1))).alias("token"))
-    return link.style_links(used, used.where("file % 5 = 0"))
+    used = table(spark, sf_dir, "pages").select(F.col("page_id").alias("file"), F.regexp_extract("url", "/([0-9]+)[^/]*$", 1).alias("token"))
+    names = F.array("s_suppkey", F.col("s_suppkey") + F.col("s_nationkey"), F.col("s_nationkey").cast("long")).cast("array<string>")
+    return link.style_links(used, table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("file"), F.explode(names).alias("token")))

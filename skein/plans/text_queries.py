@@ -22,9 +22,9 @@ def grep_literal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.join(F.broadcast(total))
 
 
-@query(f"WITH {LINES}, h AS (SELECT * FROM l WHERE regexp_matches(text, '(?i)[0-9]{{4}}.*(version|license)')) SELECT path, line::INT AS line, text, (SELECT count(*) FROM h) AS total FROM h ORDER BY path, line LIMIT 50")
+@query(f"WITH {LINES}, h AS (SELECT * FROM l WHERE regexp_matches(text, '(?i)licen[sc]ed? .*(version [0-9]|cc by)')) SELECT path, line::INT AS line, text, (SELECT count(*) FROM h) AS total FROM h ORDER BY path, line LIMIT 50")
 def grep_regex(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits, total = scan.grep(doc_files(spark, sf_dir), "[0-9]{4}.*(version|license)", regex=True)
+    hits, total = scan.grep(doc_files(spark, sf_dir), "licen[sc]ed? .*(version [0-9]|cc by)", regex=True)
     return hits.join(F.broadcast(total))
 
 
@@ -80,9 +80,37 @@ def coverage_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan.coverage_gap(texts, "stupid", table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id")))
 
 
-@query("""SELECT o_custkey AS model, string_agg(o_orderkey || '→' || o_orderstatus, ', ' ORDER BY o_orderkey) FILTER (WHERE o_orderkey % 2 = 0) AS renamed FROM orders GROUP BY 1 HAVING count(*) FILTER (WHERE o_orderkey % 2 = 0) BETWEEN 1 AND 12""")
-def models_renames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    field = F.when(F.col("o_orderkey") % 2 == 0, F.concat("o_orderkey", F.lit("→"), "o_orderstatus")).otherwise(F.col("o_orderkey").cast("string"))
-    models = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("model")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", field.alias("f")))), lambda x: x["f"]), ", ").alias("fields"))
-    renamed = F.filter(F.split("fields", ", "), lambda x: x.contains("→"))
-    return models.where(F.size(renamed).between(1, 12)).select("model", fn.join_capped(renamed, 12).alias("renamed"))
+@query("""SELECT p_partkey, column_name AS "column", values FROM part, (VALUES ('kind'), ('size')) v(column_name),
+LATERAL (SELECT CASE column_name WHEN 'kind' THEN p_type || ', ' || p_brand ELSE p_size || ', ' || (p_size + 1) END AS values)""")
+def check_enums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Value lists of the CHECK constraints of a table made for each part."""
+    ddl = F.concat(F.lit('CREATE TABLE t (a INT CHECK (a > 0), "Kind" TEXT CHECK ("Kind" IN (\''), "p_type", F.lit("', '"), "p_brand", F.lit("')), size INT check(size in ("), F.col("p_size").cast("string"), F.lit(","), (F.col("p_size") + 1).cast("string"), F.lit(")))"))
+    found = table(spark, sf_dir, "part").select("p_partkey", F.explode(fn.check_enums(ddl)).alias("x"))
+    return found.select("p_partkey", "x.column", "x.values")
+
+
+@query("""SELECT page_id, CASE WHEN page_id % 2 = 0 THEN NULL ELSE '#hero-' || page_id || ',--gap' || page_id || ',.btn,.card-' || length(url) || ',[data-k]' END AS tokens FROM pages""")
+def style_uses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of markup; even pages have none."""
+    mark = F.concat(F.lit('<div class="btn card-'), F.length("url"), F.lit('" data-k="1"><p id=\'hero-'), "page_id", F.lit("'></p><i style=\"w: var(--gap"), "page_id", F.lit(')"></i>'))
+    tokens = F.array_join(fn.style_uses(F.when(F.col("page_id") % 2 == 0, "<p>plain text, no class</p>").otherwise(mark)), ",")
+    return table(spark, sf_dir, "pages").select("page_id", F.nullif(tokens, F.lit("")).alias("tokens"))
+
+
+@query("""SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'call(' || page_id || ')' WHEN 1 THEN 'a' || page_id || ';b' ELSE '' END AS body FROM pages""")
+def mask_script_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inline scripts only: none with a source, none of another type."""
+    kind = F.col("page_id") % 4
+    text = F.concat(F.when(kind == 0, "call(").when(kind == 1, "a").otherwise("x"), "page_id", F.when(kind == 0, ")").when(kind == 1, ";b").otherwise(""))
+    head = F.when(kind == 0, "<script>").when(kind == 1, '<SCRIPT type="module" defer>').when(kind == 2, "<script src='/a.js'>").otherwise('<script type="application/json">')
+    bodies = fn.script_bodies(F.concat(F.lit("<p>\n"), head, text, F.lit("</script ><b>x</b>")))
+    return table(spark, sf_dir, "pages").select("page_id", F.array_join(bodies, "\n").alias("body"))
+
+
+@query("""SELECT p_partkey, ends_with(path, '.pb.go') OR contains(head, 'DO NOT EDIT') AS generated, starts_with(path, '/') AND NOT contains(path, ' ') AS client
+FROM (SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN '/a/' || p_partkey || '.pb.go' WHEN 1 THEN '/b ' || p_partkey ELSE 'c' || p_partkey END AS path, CASE WHEN p_size % 5 = 0 THEN '// Code generated; DO NOT EDIT.' ELSE p_name END AS head FROM part)""")
+def path_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.col("p_size") % 3
+    path = F.when(kind == 0, F.concat(F.lit("/a/"), "p_partkey", F.lit(".pb.go"))).when(kind == 1, F.concat(F.lit("/b "), "p_partkey")).otherwise(F.concat(F.lit("c"), "p_partkey"))
+    head = F.when(F.col("p_size") % 5 == 0, "// Code generated; DO NOT EDIT.").otherwise(F.col("p_name"))
+    return table(spark, sf_dir, "part").select("p_partkey", fn.is_generated(path, head).alias("generated"), fn.is_client_path(path).alias("client"))

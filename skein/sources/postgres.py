@@ -6,7 +6,7 @@ follows is joins and aggregates, so catalogues of any size work.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skein.model import Graph
@@ -43,6 +43,14 @@ def flag(c: Column) -> Column:
     return F.when(c, "true")
 
 
+def numbered(edges: DataFrame) -> DataFrame:
+    """Edges with an ord of their own: each source's edges one after another, by key and target."""
+    rows = edges if "key" in edges.columns else edges.withColumn("key", F.lit(None).cast("string"))
+    w = Window.partitionBy("src", "type").orderBy("key", "dst")
+    base = F.shiftleft(F.shiftrightunsigned(F.xxhash64("src", "type"), 24), 20)
+    return rows.withColumn("ord", base + F.row_number().over(w)).drop("key")
+
+
 def from_catalog(spark: SparkSession, inputs: dict[str, DataFrame], database: str) -> Graph:
     none = F.create_map().cast("map<string,string>")
     base = f"database:{database}"
@@ -61,14 +69,15 @@ def from_catalog(spark: SparkSession, inputs: dict[str, DataFrame], database: st
     columns = cols.select("id", F.lit("column").alias("type"), F.concat("shown", F.lit("."), "name").alias("name"), some(data_type=F.col("data_type"), not_null=flag(F.col("not_null")), default=F.col("default_value"), comment=F.col("comment"), enum_values=F.col("enum_values"), primary_key=flag(F.col("pk")), unique=flag(F.col("uq"))).alias("attrs"))
     place = cols.select("rel_oid", "position", F.col("id").alias("column_id"), F.col("name").alias("column"))
 
+    # Parallel keys between the same tables are told apart by their constraints' names.
     pairs = keys.where("kind = 'f'").select("rel_oid", "target_oid", "name", F.posexplode(F.arrays_zip("key", "target_key")).alias("n", "k")).select("rel_oid", "target_oid", "name", "n", F.col("k.key").alias("position"), F.col("k.target_key").alias("to_position"))
     there = place.select(F.col("rel_oid").alias("target_oid"), F.col("position").alias("to_position"), F.col("column_id").alias("to_id"), F.col("column").alias("to_column"))
     pairs = pairs.join(place, ["rel_oid", "position"]).join(there, ["target_oid", "to_position"])
-    foreign = pairs.select(F.col("column_id").alias("src"), F.col("to_id").alias("dst"), F.lit("FOREIGN_KEY").alias("type"), none.alias("attrs"))
+    foreign = pairs.select(F.col("column_id").alias("src"), F.col("to_id").alias("dst"), F.lit("FOREIGN_KEY").alias("type"), none.alias("attrs"), F.col("name").alias("key"))
     listed = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", c))), lambda x: x[c]), ",")
     target = names.select(F.col("rel_oid").alias("target_oid"), F.col("rel_id").alias("target_id"))
     refs = pairs.groupBy("rel_oid", "target_oid", "name").agg(listed("column").alias("f"), listed("to_column").alias("t")).join(names, "rel_oid").join(target, "target_oid")
-    refs = refs.select(F.col("rel_id").alias("src"), F.col("target_id").alias("dst"), F.lit("REFERENCES").alias("type"), some(from_column=F.col("f"), to_column=F.col("t")).alias("attrs"))
+    refs = refs.select(F.col("rel_id").alias("src"), F.col("target_id").alias("dst"), F.lit("REFERENCES").alias("type"), some(from_column=F.col("f"), to_column=F.col("t")).alias("attrs"), F.col("name").alias("key"))
 
     idx = inputs["indexes"].withColumn("id", F.concat(F.lit("index:"), "schema", F.lit("."), "name"))
     indexes = idx.select("id", F.lit("index").alias("type"), "name", some(unique=flag(F.col("is_unique")), schema=F.col("schema")).alias("attrs"))
@@ -83,5 +92,5 @@ def from_catalog(spark: SparkSession, inputs: dict[str, DataFrame], database: st
     has_column = cols.select(F.col("rel_id").alias("src"), F.col("id").alias("dst"), F.lit("HAS_COLUMN").alias("type"), none.alias("attrs"), F.col("position").cast("long").alias("ord"))
     edges = has_column
     for part in (has_table, foreign, refs, has_index, covers, uses):
-        edges = edges.unionByName(part.withColumn("ord", F.xxhash64("src", "dst")))
+        edges = edges.unionByName(numbered(part))
     return Graph(top.unionByName(heads).unionByName(columns).unionByName(indexes), edges, f"postgres:{database}")

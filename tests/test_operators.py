@@ -114,3 +114,101 @@ def test_tree_and_short_ids(spark):
     assert [r.s for r in got.collect()] == ["users", "s.a.b", "func:x"]
     with pytest.raises(Exception):  # noqa: B017  Spark's own error
         scan.grep(rows.withColumn("content", F.lit("x")), "(", regex=True)[0].collect()
+
+
+def test_containing_ranges_against_all_pairs(spark):
+    import random
+
+    draw = random.Random(7)
+    ranges = [(i, draw.choice("ab"), low, low + draw.choice([0, 0, 1, 2, 3, 7, 8, 40, 200])) for i in range(150) for low in [draw.randint(-60, 200)]] + [(500, "a", 9, 3), (501, "c", 0, 5)]
+    points = [(i, draw.choice("abd"), draw.randint(-80, 420)) for i in range(300)]
+    got = {r.point_id: r.range_id for r in link.innermost(spark.createDataFrame(points, "point_id long, scope string, at long"), spark.createDataFrame(ranges, "range_id long, scope string, low long, high long"), True).collect()}
+    for p, scope, at in points:
+        best = max(((low, r) for r, s, low, high in ranges if s == scope and low <= at <= high), default=(None, None))
+        assert got[p] == best[1]
+    none = spark.createDataFrame([], "range_id long, scope string, low long, high long")
+    assert {r.range_id for r in link.innermost(spark.createDataFrame(points[:3], "point_id long, scope string, at long"), none, True).collect()} == {None}
+
+
+def test_no_plan_pairs_a_whole_scope(spark):
+    """A hot scope: ten thousand ranges that hold none of ten thousand points."""
+    points = spark.range(10_000).selectExpr("id AS point_id", "'s' AS scope", "id * 2 + 1 AS at")
+    ranges = spark.range(10_000).selectExpr("id AS range_id", "'s' AS scope", "id * 2 AS low", "id * 2 AS high")
+    found = link.innermost(points, ranges, True)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString().replace("Join LeftOuter", "") and found.where("range_id IS NOT NULL").count() == 0
+
+
+def test_routes_against_all_pairs(spark):
+    import random
+
+    draw = random.Random(3)
+    part = lambda: draw.choice(["a", "b", "c", ":x", ":y", "d"])
+    path = lambda: "/" + "/".join(part() for _ in range(draw.randint(1, 5)))
+    routes = [(f"r{i:03d}", draw.choice("fg"), draw.choice(["GET", "POST", ""]), path()) for i in range(60)] + [("root", "f", "GET", "/"), ("wild", "g", "GET", "/:a/:b")]
+    calls = [(i, draw.choice("fh"), draw.choice(["GET", "POST", ""]), path(), draw.random() < 0.3) for i in range(200)] + [(900, "h", "GET", "/", False)]
+    got = {r.call_id: (r.route_id, r.score) for r in link.route_matches(spark.createDataFrame(calls, "call_id long, file string, method string, path string, relative boolean"), spark.createDataFrame(routes, "route_id string, file string, method string, path string")).collect()}
+    want = {}
+    for call, file, method, path_, relative in calls:
+        tail, found = [x for x in path_.split("/") if x][::-1], {}
+        for route, route_file, route_method, route_path in routes:
+            other = [x for x in route_path.split("/") if x][::-1]
+            n = min(len(tail), len(other))
+            if n and file != route_file and (method == route_method or not method or not route_method) and all(x == y or ":" in (x[0], y[0]) for x, y in zip(tail, other, strict=False)) and (not relative or n >= 2):
+                found.setdefault(n, set()).add(route)
+        if found and len(found[max(found)]) == 1:
+            want[call] = (*found[max(found)], max(found))
+    assert got == want and len(want) > 20
+
+
+def test_shared_state_of_a_hot_state(spark):
+    rows = [(f"f{i:04d}", "hot", "READS") for i in range(2000)] + [("f0003", "hot", "WRITES"), ("w", "own", "WRITES")]
+    got = {(r.id, r.kind): (r.n_others, r.others) for r in link.shared_state(spark.createDataFrame(rows, "id string, state string, kind string")).collect()}
+    assert got["f0003", "READS"] == (1999, ["f0000", "f0001", "f0002", "f0004", "f0005", "f0006"]) and got["f1999", "WRITES"] == (1, ["f0003"])
+    assert ("f0003", "WRITES") not in got and not any(k[0] == "w" for k in got) and got["f1000", "READS"][0] == 1999
+
+
+def test_co_change_drops_a_huge_basket(spark):
+    baskets = [("huge", i) for i in range(3000)] + [(f"b{k}", x) for k in range(5) for x in (1, 2)]
+    got = link.co_change(spark.createDataFrame(baskets, "basket string, item long")).collect()
+    assert [(r.a, r.b, r["count"], r.band) for r in got] == [(1, 2, 5, "high")]
+
+
+def test_paths_of_any_length(spark):
+    chain = spark.createDataFrame([(f"n{i:02d}", f"n{i + 1:02d}", "X", i) for i in range(26)], E)
+    assert paths.shortest_path(chain, "n00", "n24") == [f"n{i:02d}" for i in range(25)]
+    assert paths.shortest_path(chain, "n00", "n24", most=20) == []
+
+
+def test_budget_over_many_ranges(spark):
+    rows = [(i, 0 if i < 300 else 7) for i in range(1000)]
+    got = scan.budget_cut(spark.createDataFrame(rows, "id long, size long").repartition(7), "size", ["id"], 70).collect()
+    assert {r.id: r.used for r in got} == {i: 7 * max(0, i - 300) for i in range(311)}
+    assert scan.budget_cut(spark.createDataFrame([], "id long, size long"), "size", ["id"], 70).count() == 0
+
+
+def test_selectors_of_styles_and_markup(spark):
+    from skein.functions import text as fn
+
+    css = "/* .gone{} */ .a.b > #top, a[data-k='x']:hover { color: red; --gap : 2px; } @media (min-width: 3px) { .in-side { width: .5em } } :root{--main-bg:#fff} .z"
+    html = """<div class="one two-x {{no}}" id='main' data-role="r"><a href="#end">x</a></div><script>el.classList.add("on"); document.getElementById('late'); x.setAttribute("data-open", 1);
+    el.dataset.userName = 2; q.querySelector(".deep #er [data-z]"); s = "width: var( --gap )"</script>"""
+    row = spark.createDataFrame([(css, html)], "css string, html string").select(fn.css_selectors(F.col("css")).alias("defined"), fn.style_uses(F.col("html")).alias("used")).first()
+    assert row.defined == sorted([".a", ".b", "#top", "[data-k]", "--gap", ".in-side", "--main-bg"])
+    assert row.used == sorted([".one", ".two-x", "#main", "[data-role]", "#end", ".on", "#late", "[data-open]", "[data-user-name]", ".deep", "#er", "[data-z]", "--gap"])
+
+
+def test_parallel_foreign_keys_of_postgres(spark):
+    from skein.operators import joins, report
+    from skein.sources import postgres
+
+    rows = {
+        "relations": [(1, "public", "orders", "r", None, 5.0, None), (2, "public", "addresses", "r", None, 5.0, None)],
+        "columns": [(1, 1, "id", "int", 0, True, None, None), (1, 2, "billing_id", "int", 0, False, None, None), (1, 3, "shipping_id", "int", 0, False, None, None), (2, 1, "id", "int", 0, True, None, None)],
+        "constraints": [(1, "f", 2, [3], [1], "b_shipping"), (1, "f", 2, [2], [1], "a_billing")],
+    }
+    graph = postgres.from_catalog(spark, {n: spark.createDataFrame(rows.get(n, []), ddl) for n, ddl in postgres.INPUTS.items()}, "shop")
+    refs = graph.edges.where("type = 'REFERENCES'").orderBy("ord").collect()
+    assert [r.attrs["from_column"] for r in refs] == ["billing_id", "shipping_id"] and graph.edges.where("type <> 'HAS_COLUMN'").groupBy("ord").count().where("count > 1").count() == 0
+    (step,) = joins.join_path(graph, "orders", "addresses").collect()
+    assert (step.from_column, step.to_column) == ("billing_id", "id")
+    assert {r.name: r.refs for r in report.overview_tables(graph).collect()}["orders"] == "addresses, addresses"
