@@ -143,27 +143,49 @@ def reindex_plan(texts: DataFrame, stored: DataFrame) -> DataFrame:
     return rows.join(old, "id", "left").select("id", F.when(F.col("hash") == F.col("old"), "reused").otherwise("embedded").alias("action"))
 
 
-def find(nodes: DataFrame, texts: DataFrame, query: str, kind: str | None = None, limit: int = DEFAULT_LIMIT, embed: Callable[[str], list[float]] | None = None, vectors: DataFrame | None = None, expand: Callable[[str], list[str]] | None = None) -> tuple[str, DataFrame]:
-    """Method and hits (id, type, name, score): a bare name first, then vectors with keywords merged in, else keywords."""
+def quoted_tokens(query: str) -> list[str]:
+    """The words of a query as phrases, each of letters and digits between other characters."""
+    return [t for t in query.lower().split() if any(_split(t))]
+
+
+def full_text_find(texts: DataFrame, query: str, kind: str | None = None, limit: int = DEFAULT_LIMIT) -> DataFrame:
+    """(id, type, name, score) in the order of BM25; the score that is shown is the number of terms within name and text."""
+    words = texts.select("id", F.regexp_replace(F.concat_ws(" ", "name", "text"), "_", " ").alias("text"))
+    phrases = quoted_tokens(query)
+    # Only texts with a word of the query are taken apart; lengths are those of all.
+    wanted = F.arrays_overlap("words", F.array(*[F.lit(t) for p in phrases for t in _split(p) if t])) if phrases else F.lit(False)
+    counted = words.select("id", word_tokens(F.col("text")).alias("words"))
+    placed = counted.where(wanted).select("id", F.size("words").alias("dl"), F.posexplode("words").alias("at", "term"))
+    index = placed.groupBy("term", "id", "dl").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("at")).alias("positions"))
+    allowed = texts.where(F.col("type") == kind).select("id") if kind else None
+    ranked = bm25(index, counted.select("id", F.size("words").alias("dl")), phrases, limit, allowed).withColumnRenamed("score", "rank")
+    shown = term_score(F.lower(F.concat_ws(" ", "name", "text")), terms_of(query)).cast("double")
+    return texts.join(F.broadcast(ranked), "id").orderBy(F.desc("rank"), "id").select("id", "type", "name", shown.alias("score"))
+
+
+def find(nodes: DataFrame, texts: DataFrame, query: str, kind: str | None = None, limit: int = DEFAULT_LIMIT, embed: Callable[[str], list[float]] | None = None, vectors: DataFrame | None = None, expand: Callable[[str], list[str]] | None = None, full_text: bool = False) -> tuple[str, DataFrame]:
+    """Method and hits (id, type, name, score): a bare name first, then vectors with keywords merged in, else full text if asked for, else keywords."""
     limit = limit if limit > 0 else DEFAULT_LIMIT
     query = query.strip()
     if query and not any(c in query for c in " \t"):
         hits = name_find(nodes, query, kind, limit)
         if hits.limit(1).count():
             return "name", hits
-    keyword = keyword_find(texts, query, kind, limit)
+    method, keyword = "keyword", keyword_find(texts, query, kind, limit)
+    if full_text and (ranked := full_text_find(texts, query, kind, limit)).limit(1).count():
+        method, keyword = "keyword-fts", ranked
     if embed is None or vectors is None:
-        return "keyword", keyword
-    variants = [query, *(expand(query) if expand else [])]
+        return method, keyword
+    variants = list(dict.fromkeys(v.strip() for v in [query, *(expand(query) if expand else [])] if v.strip()))
     try:
         queries = [embed(v) for v in variants]
     except Exception:  # an embedder that is down leaves the keywords
-        return "keyword", keyword
+        return method, keyword
     live = vectors.join(nodes.select("id", "name"), "id") if "name" not in vectors.columns else vectors.join(nodes.select("id"), "id", "left_semi")
     semantic = best_of_variants(live, queries, limit, kind)
     rows = semantic.collect()
     if not rows:
-        return "keyword", keyword
+        return method, keyword
     method = "semantic+expanded" if any(r.variant > 0 for r in rows) else "semantic"
     spark = nodes.sparkSession
     ranked = spark.createDataFrame([(r.id, float(r.score), i) for i, r in enumerate(rows, 1)], "id string, score double, n int").join(nodes.select("id", "type", "name"), "id")

@@ -91,3 +91,12 @@ def reindex_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = F.col("id").cast("long")
     stored = docs.where(number % 7 != 3).select("id", find.text_hash(F.when(number % 10 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))).alias("hash"))
     return find.reindex_plan(docs, stored)
+
+
+@query("""WITH r AS (SELECT s_suppkey AS id, s_name AS name, s_nationkey FROM supplier) SELECT 'keyword-fts' AS method, count(*) AS n, 3::DOUBLE AS score FROM (SELECT id FROM r WHERE s_nationkey = 7 ORDER BY id LIMIT 8) HAVING count(*) > 0""")
+def full_text_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three words that only suppliers of one nation have: found by full text, scored by the number of words."""
+    supplier = table(spark, sf_dir, "supplier")
+    texts = supplier.select(F.col("s_suppkey").cast("string").alias("id"), F.lit("supplier").alias("type"), F.col("s_name").alias("name"), F.when(F.col("s_nationkey") == 7, "blue whale_song here").otherwise("red fox here").alias("text"))
+    method, hits = find.find(texts.select("id", "type", "name"), texts, "blue whale_song whale", full_text=True)
+    return hits.groupBy(F.lit(method).alias("method")).agg(F.count("*").alias("n"), F.max("score").alias("score"))
