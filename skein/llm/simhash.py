@@ -35,13 +35,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import arrow_schema, batches, bounded_batches, kept, stash
+from skein.llm.common import arrow_schema, batches, bounded_batches, kept, made, settled, stash
 from skein.llm.links import components
 
 BITS = 64
 BUCKETS = 64
-#: Fingerprints that one bucket may hold (8 bytes each); beyond, there are more buckets.
-BUCKET_PRINTS = 32_000_000
+#: Fingerprints that one bucket may hold (20 bytes each while it works); beyond, there are more buckets.
+BUCKET_PRINTS = 16_000_000
+#: The same for sketches, of about 110 bytes.
+BUCKET_SKETCHES = 2_000_000
 #: Variants made at a time in a bucket.
 PASS_VARIANTS = 2_000_000
 PIECE = 500_000
@@ -51,8 +53,6 @@ SKETCH = FAMILIES * NARROW
 #: Sketches of texts of similarity 0.8 differ in 87 bits or so, up to 109 in short texts, of others in 288;
 #: 180 is more than seven standard deviations from both.
 SKETCH_RADIUS = 180
-#: Variants that one bucket of a family makes; beyond, there are more buckets.
-BUCKET_VARIANTS = 1 << 30
 #: Equal variants of which all pairs are listed at once.
 LONG_RUN = 64
 
@@ -130,41 +130,69 @@ def joined(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
             label = up
 
 
-def bucket_links(prints: np.ndarray, masks: np.ndarray, radius: int, bits: int, bucket: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links of a bucket: (print, smallest print of its component here), for sorted distinct prints."""
-    label = np.arange(len(prints))
-    more = max(0, int(np.ceil(np.log2(max(1.0, len(prints) * len(masks) / 2**bits / PASS_VARIANTS)))))
+def distinct(values: np.ndarray) -> np.ndarray:
+    """The distinct values in order, by sorting in place."""
+    values.sort()
+    return values[np.concatenate(([True], values[1:] != values[:-1]))] if len(values) else values
+
+
+def met_variants(prints: np.ndarray, masks: np.ndarray, bits: int, bucket: int, width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Variants of a bucket that more than one row has, and the places of their rows, in passes of bounded size.
+
+    A pass has the variants whose hash has certain further bits. Rows are ordered by
+    their hash, so each mask meets a run of them, and no pass walks the others.
+    """
     deal = LinearHash(32)
+    more = max(0, int(np.ceil(np.log2(max(1.0, len(prints) * len(masks) / 2**bits / PASS_VARIANTS)))))
     keep = (1 << (bits + more)) - 1
-    of_mask, of_print = deal(masks) & keep, deal(prints) & keep
-    order = np.argsort(of_mask, kind="stable")
-    sorted_masks, n_masks = masks[order], np.bincount(of_mask, minlength=keep + 1)
-    first = np.cumsum(n_masks) - n_masks
+    of_mask, of_print = deal(masks) & keep, (deal(prints) & keep).astype(np.uint32)
+    order = np.argsort(of_print, kind="stable").astype(np.uint32)
+    offset = np.concatenate(([0], np.cumsum(np.bincount(of_print, minlength=keep + 1))))
+    del of_print
     for extra in range(1 << more):
-        need = of_print ^ (bucket | extra << bits)
-        count = n_masks[need]
-        at = np.repeat(np.arange(len(prints)), count)
-        within = np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count)
-        variants = prints[at] ^ sorted_masks[first[need][at] + within]
+        need = of_mask ^ (bucket | extra << bits)
+        count = offset[need + 1] - offset[need]
+        total = int(count.sum())
+        at = order[np.repeat(offset[need] - np.cumsum(count) + count, count) + np.arange(total)]
+        variants = prints[at] ^ np.repeat(masks, count)
+        # One sort of the variants, or of a hash of them, with their places behind it finds those that are not alone.
+        room = 63 - total.bit_length()
+        keys = variants if width <= room else (variants ^ variants >> np.uint64(32)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - room)
+        keys = keys << np.uint64(63 - room) | np.arange(total, dtype=np.uint64)
+        keys.sort()
+        same = (keys[1:] ^ keys[:-1]) >> np.uint64(63 - room) == 0
+        met = (keys[np.concatenate((same, [False])) | np.concatenate(([False], same))] & np.uint64((1 << (63 - room)) - 1)).astype(np.int64) if total else np.zeros(0, np.int64)
+        yield variants[met], at[met].astype(np.int64)
+
+
+def bucket_links(prints: np.ndarray, masks: np.ndarray, radius: int, bits: int, bucket: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links of a bucket: (print, smallest print of its component here), for sorted distinct prints."""
+    label = np.arange(len(prints))
+    for variants, at in met_variants(prints, masks, bits, bucket, BITS):
         order = np.argsort(variants)
-        variants = variants[order]
+        variants, at = variants[order], at[order]
         same = np.flatnonzero(variants[1:] == variants[:-1])
-        i, j = at[order[same]], at[order[same + 1]]
+        i, j = at[same], at[same + 1]
         close = np.bitwise_count(prints[i] ^ prints[j]) <= radius
         label = joined(label, i[close], j[close])
     moved = np.flatnonzero(label != np.arange(len(prints)))
     return prints[moved], prints[label[moved]]
 
 
+def buckets_for(rows: int, masks: int, least: int, most_rows: int) -> int:
+    """A power of two of buckets of which none holds more than so many rows, as far as it goes by the mean."""
+    buckets = least
+    while rows * min(1.0, masks / buckets) > most_rows:
+        buckets *= 2
+    return buckets
+
+
 def ball_links(prints: DataFrame, radius: int) -> DataFrame:
     """Links (a, b) between distinct prints (one column) that span every pair within the radius."""
     if radius % 2:
         raise ValueError("the radius must be even: half of it is the ball's")
     masks = ball(radius // 2)
-    n = prints.count()
-    buckets = BUCKETS
-    while n * min(1.0, len(masks) / buckets) > BUCKET_PRINTS:
-        buckets *= 2
+    buckets = buckets_for(prints.count(), len(masks), BUCKETS, BUCKET_PRINTS)
     bits = buckets.bit_length() - 1
 
     def send(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,7 +221,7 @@ def ball_links(prints: DataFrame, radius: int) -> DataFrame:
             for bucket, blob in zip(batch.column("bucket").to_pylist(), batch.column("blob"), strict=True):
                 held.setdefault(bucket, []).append(np.frombuffer(blob.as_buffer(), np.uint64).copy())
         for bucket in sorted(held):
-            own = np.unique(np.concatenate(held.pop(bucket)))
+            own = distinct(np.concatenate(held.pop(bucket)))
             a, b = bucket_links(own, masks, radius, bits, bucket)
             for at in range(0, len(a), 100_000):
                 yield batches({"a": a[at : at + 100_000].view(np.int64), "b": b[at : at + 100_000].view(np.int64)}, schema)
@@ -214,8 +242,10 @@ def groups(prints: DataFrame, radius: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every document."""
+    before = len(made(docs.sparkSession))
     prints = stash(fingerprints(docs, words), "doc-prints")
-    return groups(prints, radius).select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+    found = groups(prints, radius).select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+    return settled(found, "near-duplicates", before)
 
 
 def shingles(text: str, words: int) -> np.ndarray:
@@ -308,35 +338,17 @@ def run_pairs(keys: np.ndarray, at: np.ndarray, label: np.ndarray, whole: bool)
 
 def family_pairs(rows: np.ndarray, label: np.ndarray, family: int, masks: np.ndarray, whole: bool, bits: int, bucket: int) -> tuple[np.ndarray, np.ndarray, bool]:
     """Pairs of a bucket of one family whose balls meet and whose sketches are near enough."""
-    prints = narrow_prints(rows, family)
-    deal, n, long = LinearHash(32), len(rows), False
-    more = max(0, int(np.ceil(np.log2(max(1.0, n * len(masks) / 2**bits / PASS_VARIANTS)))))
-    keep = (1 << (bits + more)) - 1
-    of_mask, of_print = deal(masks) & keep, deal(prints) & keep
-    order = np.argsort(of_mask, kind="stable")
-    sorted_masks, n_masks = masks[order], np.bincount(of_mask, minlength=keep + 1)
-    first = np.cumsum(n_masks) - n_masks
-    wide = rows.view("<u8")
+    n, long, wide = len(rows), False, rows.view("<u8")
     found = [np.zeros(0, np.int64)]
-    for extra in range(1 << more):
-        need = of_print ^ (bucket | extra << bits)
-        count = n_masks[need]
-        at = np.repeat(np.arange(n), count)
-        within = np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count)
-        variants = prints[at] ^ sorted_masks[first[need][at] + within]
-        # Most variants stand alone; only the others are sorted with their labels.
-        order = np.argsort(variants)
-        ordered = variants[order]
-        same = ordered[1:] == ordered[:-1]
-        met = order[np.concatenate((same, [False])) | np.concatenate(([False], same))] if len(at) else order
-        i, j, some = run_pairs(variants[met], at[met], label, whole)
+    for variants, at in met_variants(narrow_prints(rows, family), masks, bits, bucket, NARROW):
+        i, j, some = run_pairs(variants, at, label, whole)
         long |= some
-        pairs = np.unique(i * n + j)
+        pairs = distinct(i * n + j)
         for k in range(0, len(pairs), PIECE):
             part = pairs[k : k + PIECE]
             near = np.bitwise_count(wide[part // n] ^ wide[part % n]).sum(axis=1, dtype=np.int64) <= SKETCH_RADIUS
             found.append(part[near])
-    pairs = np.unique(np.concatenate(found))
+    pairs = distinct(np.concatenate(found))
     return pairs // max(n, 1), pairs % max(n, 1), long
 
 
@@ -344,10 +356,7 @@ def near_pairs(nodes: DataFrame, radius: int, whole: bool) -> DataFrame:
     """(a, b, long): pairs of nodes of a table (node, data, label) that have different labels
     and whose balls meet in one family at least; rows with long set and no pair tell of long runs."""
     masks = ball(radius // 2, NARROW)
-    buckets = 1
-    n = nodes.count()
-    while n * len(masks) / buckets > BUCKET_VARIANTS:
-        buckets *= 2
+    buckets = buckets_for(nodes.count(), len(masks), 1, BUCKET_SKETCHES)
     bits = buckets.bit_length() - 1
 
     def send(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -430,8 +439,9 @@ def one_of_each(docs: DataFrame, words: int = 5, radius: int = 4, least: float =
     at least that Jaccard similarity are linked, and of every group the
     document with the smallest doc_id stays. Rows that repeat a doc_id count as copies
     of it and one stays; rows without doc_id stay, as nothing else tells them apart."""
+    before = len(made(docs.sparkSession))
     best = similar_groups(docs.where("doc_id IS NOT NULL"), words, radius, least).where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("copies"))
-    best = stash(best.select(F.col("doc_id").alias("skein_id"), "copies"), "kept")
+    best = settled(best.select(F.col("doc_id").alias("skein_id"), "copies"), "kept", before)
     # A sort-merge join at every size: the kept ids grow with the documents.
     kept_rows = docs.join(best.hint("merge"), docs["doc_id"] == best["skein_id"], "left_semi")
     if best.where("copies > 1").limit(1).count():

@@ -1,6 +1,12 @@
 import corpus_pipeline
-from skein.llm import bpe, decontaminate, simhash, spans
+from skein.llm import bpe, decontaminate
 from skein.llm.common import table
+from test_spans import brute
+
+
+def five_words(text):
+    words = text.encode().lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
 
 
 def test_stages_and_their_columns(spark, sf):
@@ -18,15 +24,16 @@ def test_stages_and_their_columns(spark, sf):
     all_docs = {r.doc_id: r for r in table(spark, sf, "documents").collect()}
     clean = [d for d, r in all_docs.items() if any(c.isalpha() for c in r.text)]
     assert len(kept["language"]) >= 0.97 * len(clean)
-    prints = {d: simhash.fingerprint(r.text, 5) % (1 << 64) for d, r in kept["language"].items()}
-    left = set(kept["near_duplicates"])
-    for d, p in prints.items():
-        if d not in left:
-            assert any(e < d and (p ^ q).bit_count() <= 4 or (p ^ q).bit_count() <= 4 and e != d for e, q in prints.items())
-    assert all((prints[a] ^ prints[b]).bit_count() > 4 for a in left for b in left if a < b)
-    for d, r in kept["repeated_spans"].items():
-        parts = spans.sentences(kept["near_duplicates"][d].text)
-        assert set(spans.sentences(r.text)) <= set(parts) and r.n_chars == len(r.text)
+    # Near-duplicates: five-word shingles of Jaccard similarity 0.8 or more, by comparing all pairs of texts.
+    sets = {d: five_words(r.text) for d, r in kept["language"].items()}
+    group = {d: d for d in sets}
+    for a, b in sorted((min(a, b), max(a, b)) for a in sets for b in sets if a < b and 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b])):
+        least, most = sorted((group[a], group[b]))
+        group = {d: least if g == most else g for d, g in group.items()}
+    assert set(kept["near_duplicates"]) == {d for d, g in group.items() if d == g} != set(sets)
+    texts = {d: r.text for d, r in kept["near_duplicates"].items()}
+    cut = brute(texts.items())
+    assert {d: (r.text, r.n_chars) for d, r in kept["repeated_spans"].items()} == {d: (x, len(x)) for d, x in cut.items() if x.strip() or x == texts[d]}
     items = decontaminate.Items([(r.item_id, r.text) for r in table(spark, sf, "benchmark").collect()], decontaminate.MIN_MATCH)
     for d, r in kept["repeated_spans"].items():
         leak = any(2 * covered >= n for _, n, covered, _ in items.scan(r.text))
