@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.llm import bpe, decontaminate, language, simhash, spans
-from skein.llm.common import fresh, table
+from skein.llm.common import delete, forget_since, fresh, made, table
 
 #: Least share of a document's words, in expectation, that its language must have.
 LEAST_SHARE = 0.35
@@ -24,14 +24,16 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest doc_id stays."""
-    return simhash.one_of_each(docs, words=5, radius=4)
+    return simhash.one_of_each(docs, words=5, radius=4, least=0.8)
 
 
 def drop_repeated_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that an earlier document or place has go; so do documents that had nothing else."""
-    cut = spans.remove_repeats(docs).where(~((F.col("n_removed") > 0) & (F.trim("text") == "")))
+    cut = spans.remove_repeats(docs)
+    lost = F.col(cut.columns[-1]) > 0
+    cut = cut.where(~(lost & (F.trim("text") == "")))
     if "n_chars" in docs.columns:
-        cut = cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+        cut = cut.withColumn("n_chars", F.when(lost, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return cut.select(docs.columns)
 
 
@@ -59,9 +61,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written as Parquet and read again by the next."""
-    docs = table(spark, sf_dir, "documents")
+    docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        path = fresh(spark, f"stage-{name}")
+        path, before = fresh(spark, f"stage-{name}"), len(made(spark))
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        forget_since(spark, before)
+        if last:
+            delete(spark, last)
+        docs, last = spark.read.parquet(path), path
     return docs
