@@ -79,14 +79,14 @@ def edges_self_loop_once(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(WALK + """ SELECT i::INT AS step, seen[i] AS from_table, seen[i + 1] AS to_table, ca[i] AS from_column, cb[i] AS to_column
 FROM best, range(1, 100) r(i) WHERE start = 'customer' AND place = 'part' AND i <= hops""")
 def join_path_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return joins.join_path(catalog.extract(spark, sf_dir), "customer", "part")
+    return joins.join_path(catalog.extract(spark, sf_dir, counts=False), "customer", "part")
 
 
 @query(WALK + """ SELECT DISTINCT CASE WHEN l < r THEN l || ' = ' || r ELSE r || ' = ' || l END AS cond
 FROM (SELECT seen[i] || '.' || ca[i] AS l, seen[i + 1] || '.' || cb[i] AS r FROM best, range(1, 100) x(i)
 WHERE start IN ('customer', 'lineitem', 'nation', 'orders') AND place IN ('customer', 'lineitem', 'nation', 'orders') AND start < place AND hops <= 3 AND i <= hops)""")
 def join_pairs_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return joins.join_conditions(catalog.extract(spark, sf_dir), list(combinations(("customer", "lineitem", "nation", "orders"), 2)))
+    return joins.join_conditions(catalog.extract(spark, sf_dir, counts=False), list(combinations(("customer", "lineitem", "nation", "orders"), 2)))
 
 
 @query(f"""WITH RECURSIVE {ROWS_SQL}, u AS (SELECT src a, dst b FROM e UNION SELECT dst, src FROM e),

@@ -16,9 +16,16 @@ from skein.functions.text import client_path, css_selectors, style_uses
 from skein.model import Graph
 from skein.operators import link
 from skein.shared import written
+from skein.sources import git
 
 #: Folders that are never read.
 SKIPPED = ("node_modules", "vendor", "dist", "build", "target", "__pycache__", "venv", "out", "bin", "obj", "coverage")
+#: Names of the languages themselves, which get no external node.
+BUILTINS = (
+    "append", "cap", "clear", "close", "copy", "delete", "len", "make", "max", "min", "new", "panic", "print", "println", "recover",
+    "bool", "byte", "rune", "string", "error", "int", "int8", "int16", "int32", "int64", "uint", "uint8", "uint16", "uint32", "uint64", "float32", "float64", "complex64", "complex128",
+    "isinstance", "range", "enumerate", "sorted", "repr", "getattr", "setattr", "hasattr", "require", "parseInt", "parseFloat", "Boolean", "Number", "String", "Array", "Object", "Symbol",
+)
 CODE = ("py", "go", "js", "jsx", "mjs", "ts", "tsx", "java", "kt", "cs", "rs", "swift")
 FACTS = "path string, kind string, line int, end int, name string, attrs map<string,string>, ord bigint"
 
@@ -58,7 +65,20 @@ def none() -> Column:
 
 def extract(spark: SparkSession, source: str) -> Graph:
     files = walk(spark, source)
-    return link_facts(written(facts(files), "facts"), files, f"codebase:{source}")
+    graph = link_facts(written(facts(files), "facts"), files, f"codebase:{source}")
+    return with_companions(graph, git.commit_files(spark, source)) if git.is_tree(source) else graph
+
+
+def with_companions(graph: Graph, commits: DataFrame) -> Graph:
+    """The graph with links between files that commits (basket, item) changed together, but those that import one another."""
+    files = graph.nodes.where("type = 'file' AND attrs['doc'] IS NULL").select(F.col("name").alias("item"), "id")
+    pairs = link.co_change(commits.join(files.select("item"), "item", "left_semi"))
+    linked = graph.edges.where("type = 'IMPORTS'").select(F.least("src", "dst").alias("x"), F.greatest("src", "dst").alias("y")).distinct()
+    file = lambda c: F.concat(F.lit("file:"), c)
+    rows = pairs.withColumns({"x": F.least(file("a"), file("b")), "y": F.greatest(file("a"), file("b"))}).join(linked, ["x", "y"], "left_anti")
+    attrs = F.create_map(F.lit("count"), F.col("count").cast("string"), F.lit("ratio"), F.format_number("ratio", 2), F.lit("confidence"), F.col("band"))
+    more = rows.select(F.col("x").alias("src"), F.col("y").alias("dst"), F.lit("CO_CHANGED").alias("type"), attrs.alias("attrs"), F.lit(0).cast("long").alias("ord"))
+    return Graph(graph.nodes, written(graph.edges.unionByName(more), "edges"), graph.source, graph.extracted_at)
 
 
 def link_facts(found: DataFrame, files: DataFrame, source: str) -> Graph:
@@ -88,9 +108,9 @@ def link_facts(found: DataFrame, files: DataFrame, source: str) -> Graph:
     around = link.innermost(calls.select(F.col("use_id").alias("point_id"), F.col("path").alias("scope"), F.col("line").alias("at")), functions.select(F.col("id").alias("range_id"), F.col("path").alias("scope"), F.col("line").alias("low"), F.col("end").alias("high")))
     candidates = functions.select("id", "name", F.col("path").alias("scope"), "ord")
     resolved = link.resolve_names(calls.select("use_id", "name", F.col("path").alias("scope"), "local"), candidates)
-    stubs = link.stubs(calls, resolved, found.sparkSession.createDataFrame([("print",)], "name string"))
-    target = F.when(F.col("target").isNotNull(), F.col("target")).when((F.col("status") == "unresolved") & ~F.col("local"), F.concat(F.lit("call:"), "name"))
-    made = calls.join(resolved, "use_id").join(around.select(F.col("point_id").alias("use_id"), "range_id"), "use_id").withColumns({"caller": F.coalesce("range_id", file_id), "callee": target}).where("callee IS NOT NULL AND name <> 'print' AND caller <> callee")
+    stubs = link.stubs(calls, resolved, found.sparkSession.createDataFrame([(x,) for x in BUILTINS], "name string"))
+    target = F.when(F.col("target").isNotNull(), F.col("target")).when((F.col("status") == "unresolved") & ~F.col("local") & ~F.col("name").isin(*BUILTINS), F.concat(F.lit("call:"), "name"))
+    made = calls.join(resolved, "use_id").join(around.select(F.col("point_id").alias("use_id"), "range_id"), "use_id").withColumns({"caller": F.coalesce("range_id", file_id), "callee": target}).where("callee IS NOT NULL AND caller <> callee")
     edges.append(edge(made.groupBy("caller", "callee").agg(F.min("ord").alias("ord")), F.col("caller"), F.col("callee"), "CALLS"))
     nodes.append(stubs.select("id", F.lit("function").alias("type"), "name", F.create_map(F.lit("external"), F.lit("true")).alias("attrs")))
 

@@ -5,6 +5,7 @@ git runs on the driver; what it lists is bounded by the tracked files, or by COM
 
 from __future__ import annotations
 
+import os
 import subprocess
 import uuid
 
@@ -20,6 +21,12 @@ def git(root: str, *args: str) -> str:
     return subprocess.run(["git", "-C", root.removeprefix("file://"), "-c", "core.quotePath=false", *args], check=True, capture_output=True, text=True).stdout
 
 
+def is_tree(root: str) -> bool:
+    """Whether a folder that the driver sees is under git, with a commit at least."""
+    place = root.removeprefix("file://")
+    return os.path.exists(os.path.join(place, ".git")) and subprocess.run(["git", "-C", place, "rev-parse", "-q", "--verify", "HEAD"], capture_output=True).returncode == 0
+
+
 def changed_files(spark: SparkSession, root: str, ref: str) -> DataFrame:
     """(change, old_path, path) between a reference and the tree on disk; renames are found by content."""
     rows = []

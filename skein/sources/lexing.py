@@ -8,6 +8,8 @@ name and string attributes.
 from __future__ import annotations
 
 import ast
+import bisect
+import functools
 import hashlib
 import re
 
@@ -65,8 +67,13 @@ def blanked(text: str) -> str:
     return STRING_OR_COMMENT.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), text)
 
 
+@functools.lru_cache(maxsize=4)
+def line_ends(text: str) -> list[int]:
+    return [m.start() for m in re.finditer("\n", text)]
+
+
 def line_at(text: str, at: int) -> int:
-    return text.count("\n", 0, at) + 1
+    return bisect.bisect_left(line_ends(text), at) + 1
 
 
 def block_end(text: str, at: int) -> int:
@@ -287,6 +294,29 @@ def parse_markdown(text: str) -> list[dict]:
     return [fact("doc", 1, title, doc_body=" ".join(body)[:500])] + [fact("token", 1, t) for t in dict.fromkeys(likely)]
 
 
+def only_scripts(text: str) -> str:
+    """A template with all but the bodies of its inline scripts blanked, line ends kept."""
+    out, at, low = [], 0, text.lower()
+    blank = lambda x: re.sub(r"[^\n]", " ", x)
+    while (begin := low.find("<script", at)) >= 0 and (open_ := low.find(">", begin)) >= 0 and (end := low.find("</script", open_)) >= 0:
+        head = low[begin + 7 : open_]
+        kind = re.search(r"type\s*=\s*[\"']([^\"']*)", head)
+        mine = not re.search(r"\bsrc\s*=", head) and (kind is None or kind[1] in ("", "module") or "javascript" in kind[1])
+        out += [blank(text[at : open_ + 1]), text[open_ + 1 : end] if mine else blank(text[open_ + 1 : end])]
+        at = end
+    return "".join([*out, blank(text[at:])])
+
+
+def form_requests(text: str) -> list[dict]:
+    """Requests that the forms of a template send: their action, by their method."""
+    found = []
+    for m in re.finditer(r"<form\b([^>]*)>", text, re.IGNORECASE):
+        own = {k.lower(): v for k, v in re.findall(r"([\w-]+)\s*=\s*[\"']([^\"']*)[\"']", m[1])}
+        if own.get("action", "").startswith("/"):
+            found.append(fact("client", line_at(text, m.start()), f'"{own["action"]}"', method=own.get("method", "get").upper()))
+    return found
+
+
 def parse_file(path: str, data: bytes) -> list[dict]:
     """All facts of a file, the file itself first."""
     suffix = "." + path.rsplit(".", 1)[-1].lower() if "." in path.rsplit("/", 1)[-1] else ""
@@ -300,4 +330,6 @@ def parse_file(path: str, data: bytes) -> list[dict]:
         return [head, *parse_braces(LANGUAGES[suffix], text)]
     if suffix in (".md", ".mdx"):
         return [head, *parse_markdown(text)]
+    if suffix in TEMPLATES and len(data) <= 1 << 20:
+        return [head, *parse_braces("js", only_scripts(text)), *form_requests(text)]
     return [head]

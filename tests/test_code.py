@@ -86,3 +86,30 @@ def test_commands_of_a_tree(spark, tree, tmp_path):
     assert ask("check", "codebase", str(tree)) == "no drift"
     (tree / "tax.py").write_text(before)
     assert ask("find", "total of items").startswith("keyword-fts")
+
+
+def test_scripts_and_forms_of_templates():
+    from skein.sources.lexing import line_at, parse_file
+
+    page = """<html><script src="/a.js">gone()</script>
+<form action='/users' METHOD="post"></form>
+<script type="module">
+function load() {
+  fetch("/users/1");
+}
+</script><script type="text/template">other()</script></html>
+"""
+    facts = parse_file("web/page.vue", page.encode())
+    assert {(f["kind"], f["name"], f["line"]) for f in facts if f["kind"] in ("function", "client")} == {("function", "load", 4), ("client", '"/users/1"', 5), ("client", '"/users"', 2)}
+    assert {f["name"] for f in facts if f["kind"] == "call"} == {"fetch"}
+    assert [line_at("a\nb\nc", k) for k in range(5)] == [1, 1, 2, 2, 3]
+
+
+def test_companions_and_builtins_of_a_tree(spark, tree):
+    from skein.sources import open_source
+
+    graph = open_source(spark, "codebase", str(tree))
+    (edge,) = graph.edges.where("type = 'CO_CHANGED'").collect()
+    assert (edge.src, edge.dst, edge.attrs["count"], edge.attrs["confidence"]) == ("file:shop.py", "file:tax.py", "4", "medium")
+    names = {r.id for r in graph.nodes.collect()}
+    assert "call:sum" in names and "call:print" not in names
