@@ -7,15 +7,20 @@ of a search length, the longest that overlap no earlier tile are marked first,
 and the search length falls until it is min_match. An item whose marked share
 reaches the threshold is contained in the document, also in another order.
 
-The test set is read in blocks of bounded size (BLOCK_CHARS of text, checked
-before they are sent); each block is held against all documents, so a larger
-test set means more passes and not more memory. Documents never leave their
-task.
-
-Edge cases: null and empty texts contain nothing; items of fewer than min_match
-tokens, null and empty items never match; equal rows give equal result rows;
-very long documents are tiled only around their seeds; either table may be
-empty; other columns are not read.
+Tokens in tiles are tokens of shared seeds, so an item of which these cover too few tokens is
+not tiled: a phrase that all items have brings no document to all of them.
+
+The test set is read in blocks of bounded size (BLOCK_CHARS of text). One block is
+broadcast; of several, each is collected, held against all documents, its result
+written, and released before the next is read, so a larger test set means more
+passes and not more memory. Documents never leave their task.
+
+Edge cases: an item of fewer than min_match tokens is contained where its whole token
+sequence is; null and empty texts contain nothing, and items without tokens are in nothing;
+an item with a null id counts like any other; equal rows of the test set count once, equal
+rows of documents give equal result rows; of equally long matches the first in the document
+is marked first, then the first in the item; very long documents are tiled only around their
+seeds; either table may be empty; other columns are not read.
 """
 
 from __future__ import annotations
@@ -24,14 +29,13 @@ import heapq
 import re
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import arrow_schema, batches, bounded_batches, kept, texts
+from skein.llm.common import arrow_schema, batches, bounded_batches, forget, kept, stash, texts
 
 MIN_MATCH = 5
 THRESHOLD = 0.5
@@ -134,26 +138,48 @@ class Tiling:
 class Items:
     """A block of test items, prepared for scanning documents."""
 
-    def __init__(self, rows: list[tuple[int, str]], min_match: int):
+    def __init__(self, rows: list[tuple[int | None, str]], min_match: int):
         self.min_match = min_match
         self.vocabulary: dict[str, int] = {}
-        self.items: list[tuple[int, list[int]]] = []
+        self.items: list[tuple[int | None, list[int]]] = []
+        #: Items of fewer tokens, by their tokens.
+        self.short: dict[int, dict[tuple[int, ...], list[int | None]]] = {}
         for key, text in rows:
             ids = [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in tokens(text or "")]
             if len(ids) >= min_match:
                 self.items.append((key, ids))
+            elif ids:
+                self.short.setdefault(len(ids), {}).setdefault(tuple(ids), []).append(key)
         hashes = [window_hashes(np.array(ids), min_match) for _, ids in self.items]
+        size = np.array([len(ids) for _, ids in self.items], np.int64)
+        #: All items' tokens stand in one row; a seed is held by the places where it starts there.
+        self.begin, self.size = np.cumsum(size) - size, size
+        self.owner = np.repeat(np.arange(len(size)), size)
         seeds = np.concatenate([np.zeros(0, np.uint64), *hashes])
-        owner = np.repeat(np.arange(len(hashes)), [len(h) for h in hashes])
+        place = np.concatenate([np.zeros(0, np.int64), *[b + np.arange(len(h)) for b, h in zip(self.begin, hashes, strict=True)]])
         order = np.argsort(seeds, kind="stable")
-        self.seeds, first = np.unique(seeds[order], return_index=True)
-        self.owners = np.split(owner[order], first[1:]) if len(self.seeds) else []
-
-    def scan(self, text: str) -> Iterator[tuple[int, int, int, list[tuple[int, int, int]]]]:
-        """(item, its tokens, marked tokens, tiles) of the items that share a seed with a text."""
+        self.seeds, self.first = np.unique(seeds[order], return_index=True)
+        self.places, self.last = place[order], np.append(self.first[1:], len(order))
+
+    def _short(self, ids: np.ndarray) -> Iterator[tuple[int | None, int, int, list[tuple[int, int, int]]]]:
+        """Short items that stand in a text as a whole, each with its first place."""
+        for n, own in sorted(self.short.items()):
+            seen = set()
+            for at in np.flatnonzero(np.convolve(ids >= 0, np.ones(n), "valid") == n).tolist() if len(ids) >= n else ():
+                found = tuple(ids[at : at + n].tolist())
+                if found in own and found not in seen:
+                    seen.add(found)
+                    for key in own[found]:
+                        yield key, n, n, [(0, at, n)]
+
+    def scan(self, text: str, threshold: float = 0.0) -> Iterator[tuple[int | None, int, int, list[tuple[int, int, int]]]]:
+        """(item, its tokens, marked tokens, tiles) of the items that share a seed with a text, but those
+        whose shared seeds already cover less than the threshold, and of short items in it."""
         get = self.vocabulary.get
         words = tokens(text)
         ids = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
+        if self.short:
+            yield from self._short(ids)
         if len(ids) < self.min_match or not len(self.seeds):
             return
         known = np.cumsum(np.concatenate([[0], ids >= 0]))
@@ -167,14 +193,19 @@ class Items:
         hit = self.seeds[at] == hashes
         if not hit.any():
             return
-        near: dict[int, list[int]] = defaultdict(list)
-        for start, seed in zip(whole[hit].tolist(), at[hit].tolist(), strict=True):
-            for item in np.unique(self.owners[seed]).tolist():
-                near[item].append(start)
-        for item, starts in sorted(near.items()):
+        starts, seed = whole[hit], at[hit]
+        used, which = np.unique(seed, return_inverse=True)
+        of_seed = np.repeat(np.arange(len(used)), self.last[used] - self.first[used])
+        held = np.concatenate([self.places[self.first[k] : self.last[k]] for k in used])
+        covered = np.unique(held[:, None] + np.arange(self.min_match))
+        most = np.bincount(self.owner[covered], minlength=len(self.size))
+        near = np.flatnonzero((most > 0) & (most >= threshold * self.size))
+        for item in near.tolist():
             key, pattern = self.items[item]
+            shared = np.zeros(len(used), bool)
+            shared[of_seed[self.owner[held] == item]] = True
             part, places, end = [], [], -1
-            for start in starts:
+            for start in starts[shared[which]].tolist():
                 if start > end and part:
                     part.append(GAP)
                     places.append(-1)
@@ -186,15 +217,21 @@ class Items:
             yield key, len(pattern), sum(n for _, _, n in tiles), [(p, places[t], n) for p, t, n in tiles]
 
 
-def item_blocks(benchmark: DataFrame) -> list:
-    """The test set as broadcast blocks of (item_id, text), each of about BLOCK_CHARS at most."""
+def item_blocks(benchmark: DataFrame) -> tuple[int, Iterator]:
+    """How many blocks of (item_id, text) the test set has, of about BLOCK_CHARS each, and one after another as a broadcast."""
     spark = benchmark.sparkSession
     bounded_batches(spark)
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("item_text")).where("item_id IS NOT NULL AND item_text IS NOT NULL")
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("item_text")).where("item_text IS NOT NULL")
     size = items.agg(F.sum(F.length("item_text")).alias("n")).first().n or 0
     blocks = max(1, -(-size // BLOCK_CHARS))
-    of = [items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k) for k in range(blocks)]
-    return [spark.sparkContext.broadcast(sorted((r.item_id, r.item_text) for r in rows.distinct().collect())) for rows in of]
+
+    def each() -> Iterator:
+        for k in range(blocks):
+            rows = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "item_text"), F.lit(blocks)) == k)
+            found = [(r.item_id, r.item_text) for r in rows.distinct().collect()]
+            yield spark.sparkContext.broadcast(sorted(found, key=lambda x: (x[0] is not None, x[0] or 0, x[1])))
+
+    return blocks, each()
 
 
 def prepared(block, min_match: int) -> Items:
@@ -214,7 +251,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH
             for batch in it:
                 rows = {n: [] for n in schema.names}
                 for doc, x in zip(batch.column("row_key").to_pylist(), texts(batch, "row_text"), strict=True):
-                    for item, n, covered, tiles in own.scan(x):
+                    for item, n, covered, tiles in own.scan(x, threshold):
                         if covered >= threshold * n:
                             for c, v in zip(schema.names, (doc, item, n, covered, covered / n, " ".join("%d:%d:%d" % t for t in tiles)), strict=True):
                                 rows[c].append(v)
@@ -222,19 +259,36 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH
 
         return docs.select(F.col(key).cast("long").alias("row_key"), F.col(text).alias("row_text")).mapInArrow(run, ddl)
 
-    return reduce(DataFrame.unionByName, map(scan, item_blocks(benchmark)))
+    blocks, each = item_blocks(benchmark)
+    if blocks == 1:
+        return scan(next(each))
+    found = None
+    for block in each:
+        part = stash(scan(block), "leaks")
+        block.unpersist(blocking=True)
+        found = part if found is None else found.unionByName(part)
+    return found
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH, threshold: float = THRESHOLD) -> DataFrame:
     """The rows, with all their columns, whose text contains no test item."""
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    for block in item_blocks(benchmark):
 
-        def run(it: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
+    def scan(block, docs: DataFrame) -> DataFrame:
+        def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = prepared(block, min_match)
             for batch in it:
-                keep = [not any(covered >= threshold * n for _, n, covered, _ in own.scan(x)) for x in texts(batch, "text")]
+                keep = [not any(covered >= threshold * n for _, n, covered, _ in own.scan(x, threshold)) for x in texts(batch, "text")]
                 yield batch.filter(pa.array(keep, pa.bool_()))
 
-        docs = docs.mapInArrow(run, ddl)
+        return docs.mapInArrow(run, ddl)
+
+    blocks, each = item_blocks(benchmark)
+    if blocks == 1:
+        return scan(next(each), docs)
+    for block in each:
+        left = stash(scan(block, docs), "left")
+        block.unpersist(blocking=True)
+        forget(docs)
+        docs = left
     return docs
