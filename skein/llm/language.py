@@ -260,12 +260,23 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "lang", key: str =
     """Train on a bounded sample of the labelled rows: SAMPLE_DOCS of each language by hash of the key.
 
     Twice as many are looked up by their hashes, and of these the ones with short enough texts come first.
+    Only rows of hashes so small that enough are sure to be below are looked at; should there be
+    too few after all, as with keys that repeat, all are.
     """
     rows = labelled.select(F.col(key).alias("row_key"), F.col(label).alias("row_label"), F.col(text).alias("row_text"))
-    # A row number with a limit is cut in every partition before the shuffle.
+    keys = rows.where("row_label IS NOT NULL").select("row_key", "row_label", F.xxhash64("row_key").alias("h"))
+    # Languages are few, so are these counts.
+    count = {r.row_label: r.n for r in keys.groupBy("row_label").agg(F.count("*").alias("n")).collect()}
+    if not count:
+        return train({})
+    most = F.create_map(*[F.lit(x) for k, n in sorted(count.items()) for x in (k, min(1.0, 16 * SAMPLE_DOCS / n) * 2.0**64 - 2.0**63)])
+    small = keys.where(F.col("h") <= most[F.col("row_label")])
     w = Window.partitionBy("row_label").orderBy("h", "row_key")
-    best = rows.where("row_label IS NOT NULL").select("row_key", "row_label", F.xxhash64("row_key").alias("h"))
-    best = best.withColumn("n", F.row_number().over(w)).where(F.col("n") <= 2 * SAMPLE_DOCS)
+    first = lambda df: df.withColumn("n", F.row_number().over(w)).where(F.col("n") <= 2 * SAMPLE_DOCS)
+    best = first(small)
+    held = {r.row_label: r.n for r in best.groupBy("row_label").agg(F.count("*").alias("n")).collect()}
+    if any(held.get(k, 0) < min(n, 2 * SAMPLE_DOCS) for k, n in count.items()):
+        best = first(keys)
     found = rows.join(F.broadcast(best.select("row_key", "row_label", "h").distinct()), ["row_key", "row_label"])
     short = Window.partitionBy("row_label").orderBy(F.coalesce(F.length("row_text"), F.lit(0)) > SAMPLE_CHARS, "h", "row_key", F.xxhash64("row_text"))
     found = found.withColumn("n", F.row_number().over(short)).where(F.col("n") <= SAMPLE_DOCS)
