@@ -1,7 +1,10 @@
 """Media columns: Netpbm and BMP images held in binary columns.
 
 Images are decoded to numpy arrays, resized by area with integral images, cut
-into NPY tiles and summarised by difference hashes. Everything happens within a
+into NPY tiles and summarised by difference hashes. An image is reduced to a width of
+TILE samples, its height in proportion, and every TILE rows of that are a tile, the last one
+with fewer rows; a thumbnail of TILE by TILE samples stands for the whole. The media column is
+written to the shared folder and read back, and so are the tiles. Everything happens within a
 row, so no shuffle is needed and a lost task is simply run again.
 
 Edge cases: a null text is an empty payload, which is padded to one row of
@@ -23,10 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import arrow_schema, batches, bounded_batches, texts
+from skein.llm.common import arrow_schema, batches, bounded_batches, stash, texts
 
 WIDTH = 64
 STRIP = 4096
+TILE = 16
 
 
 def to_pgm(samples: np.ndarray) -> bytes:
@@ -153,13 +157,25 @@ def difference_hash(image: np.ndarray, size: int = 8) -> str:
     return np.packbits(small[:, 1:] > small[:, :-1]).tobytes().hex()
 
 
-def npy_tile(image: np.ndarray, size: int = 16) -> bytes:
-    """The image reduced to size x size, as the bytes of an NPY file."""
+def npy(samples: np.ndarray) -> bytes:
+    """The bytes of an NPY file of rounded samples."""
     out = io.BytesIO()
-    np.save(out, np.clip(np.round(area_resize(grey(image), size, size)), 0, 255).astype(np.uint8))
+    np.save(out, np.clip(np.round(samples), 0, 255).astype(np.uint8))
     return out.getvalue()
 
 
+def npy_tile(image: np.ndarray, size: int = TILE) -> bytes:
+    """The image reduced to size x size, as the bytes of an NPY file."""
+    return npy(area_resize(grey(image), size, size))
+
+
+def npy_tiles(image: np.ndarray, size: int = TILE) -> list[bytes]:
+    """The image reduced to a width of size, cut into tiles of size rows from the top, as NPY files."""
+    h, w = image.shape[:2]
+    small = area_resize(grey(image), max(1, round(h * size / w)), size)
+    return [npy(small[top : top + size]) for top in range(0, len(small), size)]
+
+
 def payload_of(text: str | None) -> tuple[bytes, int]:
     """UTF-8, zeros appended up to a positive multiple of the width; and the length before."""
     raw = (text or "").encode()
@@ -183,20 +199,20 @@ def store(texts_df: DataFrame, key: str = "doc_id", text: str = "text", fmt: str
     return texts_df.select(F.col(key).cast("long").alias("row_key"), F.col(text).alias("row_text")).mapInArrow(run, ddl)
 
 
-READ_BACK = "row_key long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, tile binary"
+READ_BACK = "row_key long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, tile binary, tiles array<binary>"
 
 
 def read_back(media_df: DataFrame) -> DataFrame:
-    """Decode stored images: digests of the samples and of the file, the hash and the NPY tile."""
+    """Decode stored images: digests of the samples and of the file, the hash, the thumbnail and the NPY tiles."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = arrow_schema(READ_BACK)
+        schema = arrow_schema(READ_BACK.rpartition(",")[0]).append(pa.field("tiles", pa.list_(pa.binary())))
         for batch in it:
             rows = {n: [] for n in schema.names}
             for key, n, media in zip(*(batch.column(c).to_pylist() for c in ("row_key", "n_bytes", "media")), strict=True):
                 image = decode(media)
                 payload = image.tobytes()
-                for c, v in zip(schema.names, (key, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-WIDTH:]), len(media), hashlib.sha256(media).hexdigest(), difference_hash(image), npy_tile(image)), strict=True):
+                for c, v in zip(schema.names, (key, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-WIDTH:]), len(media), hashlib.sha256(media).hexdigest(), difference_hash(image), npy_tile(image), npy_tiles(image)), strict=True):
                     rows[c].append(v)
             yield batches(rows, schema)
 
@@ -204,5 +220,7 @@ def read_back(media_df: DataFrame) -> DataFrame:
 
 
 def media_features(docs: DataFrame) -> DataFrame:
-    """The contract's digest of every document: text to PGM, and back."""
-    return read_back(store(docs)).select(F.col("row_key").alias("doc_id"), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", F.sha2("tile", 256).alias("tile_sha256"))
+    """The contract's digest of every document: text to PGM, written and read back, and its tiles likewise."""
+    tiled = stash(read_back(stash(store(docs), "media")), "tiles")
+    digests = F.size("tiles").cast("long").alias("n_tiles"), F.sha2(F.array_join(F.transform("tiles", lambda x: F.sha2(x, 256)), " "), 256).alias("tiles_sha256")
+    return tiled.select(F.col("row_key").alias("doc_id"), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", F.sha2("tile", 256).alias("tile_sha256"), *digests)

@@ -62,3 +62,41 @@ def test_query_digests(make_docs, odd_docs):
 def test_tiles_are_npy_files(make_docs):
     row = media.read_back(media.store(make_docs([(1, "abc" * 99)]), fmt="bmp")).first()
     assert np.load(io.BytesIO(row.tile)).shape == (16, 16)
+
+
+def naive_means(image, height, width):
+    """Means of target areas, by adding each sample's overlap."""
+    h, w = len(image), len(image[0])
+    out = []
+    for i in range(height):
+        row = []
+        for j in range(width):
+            total = area = 0.0
+            for y in range(int(i * h / height), min(h, int((i + 1) * h / height) + 1)):
+                for x in range(int(j * w / width), min(w, int((j + 1) * w / width) + 1)):
+                    part = max(0.0, min(y + 1, (i + 1) * h / height) - max(y, i * h / height)) * max(0.0, min(x + 1, (j + 1) * w / width) - max(x, j * w / width))
+                    total, area = total + part * image[y][x], area + part
+            row.append(total / area)
+        out.append(row)
+    return out
+
+
+def test_features_and_tiles_by_hand(make_docs):
+    """The difference hash and all tiles of texts, by plain loops."""
+    texts = ["", "word", "The quick brown fox. " * 30, "x y z " * 2000]
+    for r in media.read_back(media.store(make_docs(list(enumerate(texts))))).collect():
+        raw = texts[r.row_key].encode()
+        raw = raw.ljust(max(64, -(-len(raw) // 64) * 64), b"\0")
+        image = [list(raw[i : i + 64]) for i in range(0, len(raw), 64)]
+        small = [[round(x, 6) for x in row] for row in naive_means(image, 8, 9)]
+        bits = "".join("1" if row[k + 1] > row[k] else "0" for row in small for k in range(8))
+        assert r.feature == f"{int(bits, 2):016x}"
+        want = naive_means(image, max(1, round(len(image) / 4)), 16)
+        tiles = [np.load(io.BytesIO(x)) for x in r.tiles]
+        assert [len(t) for t in tiles] == [len(want[i : i + 16]) for i in range(0, len(want), 16)]
+        assert np.abs(np.concatenate(tiles).astype(float) - np.array(want)).max() <= 0.5 + 1e-6
+
+
+def test_tiles_of_the_query(make_docs):
+    rows = {r.doc_id: r for r in media.media_features(make_docs([(1, "a" * 64 * 200), (2, "a" * 64 * 200), (3, None)])).collect()}
+    assert rows[1].n_tiles == 4 and rows[1].tiles_sha256 == rows[2].tiles_sha256 and rows[3].n_tiles == 1
