@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import arrow_schema, batches, bounded_batches, kept, stash, texts
+from skein.llm.common import arrow_schema, batches, bounded_batches, forget, kept, stash, texts
 
 BUCKETS = 1 << 15
 TARGET_DOCS = 20_000
@@ -131,7 +131,13 @@ def top_cut(keys: DataFrame, k: int, column: str, bins: int = 1024, few: int = 2
         if n <= few or not low < high:
             break
         width = (high - low) / bins
-        if low + width == low:
+        if low + width == low:  # hardly more values than bins lie so close together
+            for value, same in inside.groupBy(column).count().orderBy(F.desc(column)).collect():
+                if same >= left:
+                    break
+                left -= same
+            low = high = value
+            inside = keys.where(F.col(column) == value)
             break
         # Bins by comparison with the same edges as the filter below.
         at = F.least(F.lit(bins - 1), F.floor((F.col(column) - low) / width))
@@ -180,4 +186,5 @@ def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, see
     if k == 0:
         return noisy.withColumn("selected", F.lit(False))
     cut, last = top_cut(distinct, k, "gumbel_key")
+    forget(distinct)
     return noisy.withColumn("selected", F.coalesce((F.col("gumbel_key") > cut) | (F.col("gumbel_key") == cut) & (F.col("doc_id") <= last), F.lit(False)))

@@ -36,10 +36,12 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import arrow_schema, batches, bounded_batches, fresh, stash
+from skein.llm.common import arrow_schema, batches, bounded_batches, fresh, made, settled, stash
 
 FILE_BYTES = 64 << 20
 BLOCK_LINES = 3000
+#: Records that a shard of the index refers to, about.
+SHARD_BYTES = 32 << 20
 HELD_BLOCKS = 8
 DATE = "2026-01-01T00:00:00Z"
 STAMP = "20260101000000"
@@ -192,7 +194,11 @@ def write_index(captures: DataFrame, folder: str) -> DataFrame:
             yield block(lines)
         sink.close()
 
-    return stash(captures.repartitionByRange("key").sortWithinPartitions("key").mapInArrow(run, ddl), "directory")
+    # Records are read back shard by shard, so their bytes tell how many shards there are.
+    spark = captures.sparkSession
+    size = captures.agg(F.sum("n").alias("n")).first().n or 0
+    shards = max(spark.sparkContext.defaultParallelism, -(-size // SHARD_BYTES))
+    return stash(captures.repartitionByRange(shards, "key").sortWithinPartitions("key").mapInArrow(run, ddl), "directory")
 
 
 FOUND = "key string, page string, payload_bytes long, payload_digest string, record_type string, refers_to string"
@@ -285,9 +291,10 @@ def archive(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     (page_id, payload_bytes, payload_digest, record_type, refers_to)."""
     spark = pages.sparkSession
     bounded_batches(spark)
-    archives, index = fresh(spark, "warc"), fresh(spark, "cdx")
+    archives, index, before = fresh(spark, "warc"), fresh(spark, "cdx"), len(made(spark))
     captures = write_archives(mark_revisits(pages, least_bytes), archives)
     directory = write_index(captures, index)
     found = look_up(captures, directory, archives, index)
     number = lambda c: F.when(F.col(c) != "-", F.col(c)).cast("long")
-    return found.select(number("page").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))
+    found = found.select(number("page").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))
+    return settled(found, "read-back", before)
