@@ -17,7 +17,10 @@ Linking by similarity (one_of_each) takes one more step. Texts of Jaccard simila
 0.8 differ in about 15 of 100 bits, beyond any ball of 64. So a text has FAMILIES
 independent prints of NARROW bits, and balls of each family are joined; a pair has
 to meet in one of them. Pairs that meet are checked by all bits of both and
-then by the exact similarity of their shingles.
+then by the exact similarity of their shingles. A family gives only a forest of the pairs it
+has met, those of the nearest bits, and the texts nearest to the middle of a large group
+are met with all of it. Where exact similarity then leaves such a forest's texts
+apart, all their other pairs are met too, so no link is lost; a group of copies costs its size.
 
 Edge cases: null and empty texts have fingerprint zero and are linked like any
 other; fewer words than a shingle give one shingle of all words; the table may
@@ -53,8 +56,12 @@ SKETCH = FAMILIES * NARROW
 #: Sketches of texts of similarity 0.8 differ in 87 bits or so, up to 109 in short texts, of others in 288;
 #: 180 is more than seven standard deviations from both.
 SKETCH_RADIUS = 180
-#: Equal variants of which all pairs are listed at once.
-LONG_RUN = 64
+#: Pairs that a bucket holds before it keeps only a forest of them.
+HELD_PAIRS = 4_000_000
+#: Of a group so many texts nearest to its middle are met with all others.
+CENTRES = 3
+#: Equal variants of which all pairs are listed at once; of more, neighbours only.
+LONG_RUN = 8
 
 
 def fingerprint(text: str, words: int) -> int:
@@ -308,9 +315,8 @@ def narrow_prints(rows: np.ndarray, family: int) -> np.ndarray:
     return np.packbits(wide, axis=1, bitorder="little").view("<u8").ravel().astype(np.uint64)
 
 
-def run_pairs(keys: np.ndarray, at: np.ndarray, label: np.ndarray, whole: bool) -> tuple[np.ndarray, np.ndarray, bool]:
-    """Pairs (i, j) of rows of equal keys and different labels. Unless whole, of more
-    than LONG_RUN equal keys only neighbours are paired; the last value tells whether there were such."""
+def run_pairs(keys: np.ndarray, at: np.ndarray, label: np.ndarray, whole: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i, j) of rows of equal keys and different labels. Unless whole, of more than LONG_RUN equal keys only neighbours are paired."""
     order = np.lexsort((label[at], keys))
     keys, at = keys[order], at[order]
     edge = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1], [True])))
@@ -318,9 +324,8 @@ def run_pairs(keys: np.ndarray, at: np.ndarray, label: np.ndarray, whole: bool)
     start, stop = edge[:-1][size > 1], edge[1:][size > 1]
     mixed_run = label[at[start]] != label[at[stop - 1]]
     start, stop = start[mixed_run], stop[mixed_run]
-    long = (stop - start > LONG_RUN) & (not whole)
-    most = np.where(long, 1, stop - start - 1)
-    found_i, found_j, step = [], [], 1
+    most = np.where((stop - start > LONG_RUN) & (not whole), 1, stop - start - 1)
+    found_i, found_j, step = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 1
     while len(start):
         reach = stop - start - step
         i = np.repeat(start, reach) + np.arange(reach.sum()) - np.repeat(np.cumsum(reach) - reach, reach)
@@ -331,30 +336,83 @@ def run_pairs(keys: np.ndarray, at: np.ndarray, label: np.ndarray, whole: bool)
         step += 1
         more = most >= step
         start, stop, most = start[more], stop[more], most[more]
-    if not found_i:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), bool(long.any())
-    return np.concatenate(found_i), np.concatenate(found_j), bool(long.any())
+    return np.concatenate(found_i), np.concatenate(found_j)
 
 
-def family_pairs(rows: np.ndarray, label: np.ndarray, family: int, masks: np.ndarray, whole: bool, bits: int, bucket: int) -> tuple[np.ndarray, np.ndarray, bool]:
-    """Pairs of a bucket of one family whose balls meet and whose sketches are near enough."""
-    n, long, wide = len(rows), False, rows.view("<u8")
-    found = [np.zeros(0, np.int64)]
+def forest(n: int, i: np.ndarray, j: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Which of the links (i, j) of n rows make a forest of the least weights: every component takes its lightest
+    link to another, until there is none."""
+    order = np.argsort(weight, kind="stable")
+    i, j, label, chosen = i[order], j[order], np.arange(n), []
+    left = np.arange(len(i))
+    while True:
+        a, b = label[i[left]], label[j[left]]
+        left, a, b = left[a != b], a[a != b], b[a != b]
+        if not len(left):
+            return order[np.unique(np.concatenate(chosen))] if chosen else order[:0]
+        best = np.full(n, len(i))
+        np.minimum.at(best, a, left)
+        np.minimum.at(best, b, left)
+        some = np.unique(best[best < len(i)])
+        chosen.append(some)
+        label = joined(label, i[some], j[some])
+
+
+def centre_pairs(rows: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of the rows of each large component with those nearest to its middle, which has the bits that most of them have."""
+    order = np.argsort(label, kind="stable")
+    start = np.flatnonzero(np.diff(label[order], prepend=-1))
+    size = np.diff(start, append=len(order))
+    found = [np.zeros((0, 2), np.int64)]
+    for s, n in zip(start[size > LONG_RUN].tolist(), size[size > LONG_RUN].tolist(), strict=True):
+        own = order[s : s + n]
+        ones = np.zeros(rows.shape[1] * 8, np.int64)
+        for at in range(0, n, PIECE // 10):
+            ones += np.unpackbits(rows[own[at : at + PIECE // 10]], axis=1).sum(axis=0, dtype=np.int64)
+        middle = np.packbits(ones * 2 > n)
+        far = np.bitwise_count(rows[own] ^ middle).sum(axis=1, dtype=np.int64)
+        for centre in own[np.argsort(far, kind="stable")[:CENTRES]]:
+            found.append(np.stack([np.minimum(own, centre), np.maximum(own, centre)], axis=1)[own != centre])
+    both = np.concatenate(found)
+    return both[:, 0], both[:, 1]
+
+
+def family_pairs(rows: np.ndarray, label: np.ndarray, family: int, masks: np.ndarray, whole: bool, bits: int, bucket: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a bucket of one family whose balls meet and whose sketches are near enough: all of
+    different labels if whole, else a forest of them."""
+    n, wide = len(rows), rows.view("<u8")
+
+    def apart(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        parts = [np.bitwise_count(wide[i[k : k + PIECE]] ^ wide[j[k : k + PIECE]]).sum(axis=1, dtype=np.int64) for k in range(0, len(i), PIECE)]
+        return np.concatenate([np.zeros(0, np.int64), *parts])
+
+    def pruned(pairs: np.ndarray) -> np.ndarray:
+        i, j = pairs // max(n, 1), pairs % max(n, 1)
+        return pairs[forest(n, i, j, apart(i, j))]
+
+    found, held = [np.zeros(0, np.int64)], 0
     for variants, at in met_variants(narrow_prints(rows, family), masks, bits, bucket, NARROW):
-        i, j, some = run_pairs(variants, at, label, whole)
-        long |= some
+        i, j = run_pairs(variants, at, label, whole)
         pairs = distinct(i * n + j)
-        for k in range(0, len(pairs), PIECE):
-            part = pairs[k : k + PIECE]
-            near = np.bitwise_count(wide[part // n] ^ wide[part % n]).sum(axis=1, dtype=np.int64) <= SKETCH_RADIUS
-            found.append(part[near])
+        found.append(pairs[apart(pairs // n, pairs % n) <= SKETCH_RADIUS] if len(pairs) else pairs)
+        held += len(found[-1])
+        if held > HELD_PAIRS and not whole:  # a forest of a forest and more links is that of all
+            found = [pruned(distinct(np.concatenate(found)))]
+            held = len(found[0])
     pairs = distinct(np.concatenate(found))
-    return pairs // max(n, 1), pairs % max(n, 1), long
+    i, j = pairs // max(n, 1), pairs % max(n, 1)
+    if whole:
+        return i, j
+    a, b = centre_pairs(rows, joined(np.arange(n), i, j))
+    near = apart(a, b) <= SKETCH_RADIUS
+    i, j = np.concatenate((i, a[near])), np.concatenate((j, b[near]))
+    chosen = forest(n, i, j, apart(i, j))
+    return i[chosen], j[chosen]
 
 
 def near_pairs(nodes: DataFrame, radius: int, whole: bool) -> DataFrame:
-    """(a, b, long): pairs of nodes of a table (node, data, label) that have different labels
-    and whose balls meet in one family at least; rows with long set and no pair tell of long runs."""
+    """(a, b): pairs of nodes of a table (node, data, label) that have different labels
+    and whose balls meet in one family at least; all of them if whole, else a forest of each bucket."""
     masks = ball(radius // 2, NARROW)
     buckets = buckets_for(nodes.count(), len(masks), 1, BUCKET_SKETCHES)
     bits = buckets.bit_length() - 1
@@ -375,7 +433,7 @@ def near_pairs(nodes: DataFrame, radius: int, whole: bool) -> DataFrame:
                         yield batches({"bucket": [family * buckets + bucket], "blob": [own.tobytes()]}, schema)
 
     def meet(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema, held = arrow_schema("a long, b long, long boolean"), {}
+        schema, held = arrow_schema("a long, b long"), {}
         kept("simhash", dict)
         for batch in it:
             for bucket, blob in zip(batch.column("bucket").to_pylist(), batch.column("blob"), strict=True):
@@ -383,15 +441,13 @@ def near_pairs(nodes: DataFrame, radius: int, whole: bool) -> DataFrame:
         for bucket in sorted(held):
             rows = np.concatenate(held.pop(bucket))
             ids, labels = (np.ascontiguousarray(rows[:, k : k + 8]).view("<i8").ravel() for k in (0, 8))
-            i, j, long = family_pairs(np.ascontiguousarray(rows[:, 16:]), labels, bucket // buckets, masks, whole, bits, bucket % buckets)
-            if long:
-                yield batches({"a": [0], "b": [0], "long": [True]}, schema)
+            i, j = family_pairs(np.ascontiguousarray(rows[:, 16:]), labels, bucket // buckets, masks, whole, bits, bucket % buckets)
             for at in range(0, len(i), 100_000):
                 x, y = ids[i[at : at + 100_000]], ids[j[at : at + 100_000]]
-                yield batches({"a": np.minimum(x, y), "b": np.maximum(x, y), "long": np.zeros(len(x), bool)}, schema)
+                yield batches({"a": np.minimum(x, y), "b": np.maximum(x, y)}, schema)
 
     sent = nodes.select("node", "label", "data").mapInArrow(send, "bucket int, blob binary")
-    return sent.repartitionById(FAMILIES * buckets, "bucket").mapInArrow(meet, "a long, b long, long boolean")
+    return sent.repartitionById(FAMILIES * buckets, "bucket").mapInArrow(meet, "a long, b long")
 
 
 def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int, least: float) -> DataFrame:
@@ -416,18 +472,21 @@ def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int, le
 
 def similar_groups(docs: DataFrame, words: int, radius: int, least: float) -> DataFrame:
     """(doc_id, component_id) of rows with a doc_id: the smallest doc_id that links of the
-    similarity reach. The links of a long run of equal variants are first those of
-    neighbours; what they leave apart is then met whole, so that a large group of copies
-    does not cost all its pairs."""
+    similarity reach. First forests of near pairs are verified; where they leave texts of one forest apart,
+    all their pairs that are still apart are met."""
     prints = stash(text_nodes(docs, words), "doc-sketches")
     nodes = stash(prints.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("data").alias("data")), "sketches")
-    found = stash(near_pairs(nodes.withColumn("label", F.col("node")), radius, False), "near-pairs")
-    links = stash(verified(docs, nodes, found.where("NOT long").select("a", "b").distinct(), words, least), "near-links")
-    roots = components(links)
-    if found.where("long").limit(1).count():
-        marked = stash(nodes.join(roots, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root"), "sketches")
-        rest = stash(near_pairs(marked, radius, True).where("NOT long").select("a", "b").distinct(), "near-pairs")
-        roots = components(links.unionByName(verified(docs, nodes, rest, words, least)))
+    found = stash(near_pairs(nodes.withColumn("label", F.col("node")), radius, False).distinct(), "near-pairs")
+    links = stash(verified(docs, nodes, found, words, least), "near-links")
+    roots = stash(components(links), "near-roots")
+    # Texts of one forest that verified links leave in several parts.
+    parts = components(found).withColumnRenamed("root", "group").join(roots.hint("merge"), "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
+    parts = stash(parts, "near-parts")
+    split = parts.groupBy("group").agg(F.min("label").alias("one"), F.max("label").alias("other")).where("one <> other").select("group")
+    rest = stash(parts.join(split.hint("merge"), "group", "left_semi").join(nodes.hint("merge"), "node").select("node", "label", "data"), "near-rest")
+    if rest.limit(1).count():
+        more = stash(near_pairs(rest, radius, True).distinct().join(found.hint("merge"), ["a", "b"], "left_anti"), "near-pairs")
+        roots = components(links.unionByName(verified(docs, nodes, more, words, least)))
     marked = stash(nodes.select("node", "least").join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node")), "roots")
     names = marked.groupBy("root").agg(F.min("least").alias("component_id"))
     named = marked.join(names.hint("merge"), "root").select("node", "component_id")

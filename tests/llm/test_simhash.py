@@ -121,3 +121,43 @@ def test_long_runs_are_met_whole(make_docs, monkeypatch):
     whole = {r.doc_id for r in simhash.one_of_each(make_docs(rows)).collect()}
     monkeypatch.setattr(simhash, "LONG_RUN", 1)
     assert whole == {1} == {r.doc_id for r in simhash.one_of_each(make_docs(rows)).collect()}
+
+
+def test_forest_of_least_weights():
+    rng = np.random.default_rng(2)
+    n = 60
+    i, j = rng.integers(0, n, 400), rng.integers(0, n, 400)
+    i, j, weight = i[i != j], j[i != j], rng.permutation(400)[: (i != j).sum()]
+    chosen = simhash.forest(n, i, j, weight)
+    up, want = list(range(n)), set()
+    for k in np.argsort(weight):  # the same forest, link by link
+        a, b = up[i[k]], up[j[k]]
+        if a != b:
+            want.add(int(k))
+            up = [a if x == b else x for x in up]
+    assert set(chosen.tolist()) == want and len(simhash.forest(3, i[:0], j[:0], weight[:0])) == 0
+
+
+def test_large_group_around_one_text(make_docs, monkeypatch):
+    """Copies of one text that are not similar enough to one another hang together by it; pairs stay few."""
+    rng = np.random.default_rng(5)
+    words = [f"w{x}" for x in rng.integers(0, 9000, 400)]
+    rows, sets = [], []
+    for i in range(90):
+        copy = list(words)
+        for at in rng.choice(len(copy), 0 if i == 40 else 8, replace=False):
+            copy[at] = f"v{rng.integers(0, 9000)}"
+        rows.append((i + 1, " ".join(copy)))
+        sets.append({tuple(copy[j : j + 5]) for j in range(len(copy) - 4)})
+    links = [(i, j) for i in range(90) for j in range(i + 1, 90) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    assert sum(40 in x for x in links) == 89 and len(links) < 0.2 * 90 * 89 / 2
+    up = unions(90, links)
+    asked, verified = [], simhash.verified
+
+    def watched(docs, nodes, pairs, words, least):
+        asked.append(pairs.count())
+        return verified(docs, nodes, pairs, words, least)
+
+    monkeypatch.setattr(simhash, "verified", watched)
+    got = {r.doc_id for r in simhash.one_of_each(make_docs(rows)).collect()}
+    assert got == {i + 1 for i in range(90) if up[i] == i} == {1} and sum(asked) < 90 * 20
