@@ -60,6 +60,8 @@ SKETCH_RADIUS = 180
 HELD_PAIRS = 4_000_000
 #: Of a group so many texts nearest to its middle are met with all others.
 CENTRES = 3
+#: The same for texts with all their shingles.
+BUCKET_TEXTS = 20_000
 #: Equal variants of which all pairs are listed at once; of more, neighbours only.
 LONG_RUN = 8
 
@@ -410,46 +412,86 @@ def family_pairs(rows: np.ndarray, label: np.ndarray, family: int, masks: np.nda
     return i[chosen], j[chosen]
 
 
-def near_pairs(nodes: DataFrame, radius: int, whole: bool) -> DataFrame:
-    """(a, b): pairs of nodes of a table (node, data, label) that have different labels
-    and whose balls meet in one family at least; all of them if whole, else a forest of each bucket."""
+def near_pairs(nodes: DataFrame, radius: int) -> DataFrame:
+    """(a, b): pairs of nodes of a table (node, data) whose balls meet in one family at least, a forest of each bucket."""
+    return in_families(nodes.withColumns({"label": F.col("node"), "shingles": F.lit(b"")}), radius, BUCKET_SKETCHES, None)
+
+
+def near_links(nodes: DataFrame, radius: int, least: float) -> DataFrame:
+    """(a, b): links of at least that similarity between nodes of a table (node, label, data, shingles) whose
+    labels differ and whose balls meet; all such pairs are compared in their bucket, and a link is left
+    out where those before it join the same."""
+    return in_families(nodes, radius, BUCKET_TEXTS, least)
+
+
+def in_families(nodes: DataFrame, radius: int, most_rows: int, least: float | None) -> DataFrame:
+    """Deal nodes (node, label, data, shingles) to the buckets of all families, and meet them there."""
     masks = ball(radius // 2, NARROW)
-    buckets = buckets_for(nodes.count(), len(masks), 1, BUCKET_SKETCHES)
+    buckets = buckets_for(nodes.count(), len(masks), 1, most_rows)
     bits = buckets.bit_length() - 1
+    ddl = "bucket int, blob binary, sizes binary, shingles binary"
 
     def send(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema, deal = arrow_schema("bucket int, blob binary"), LinearHash(32)
+        schema, deal = arrow_schema(ddl), LinearHash(32)
         of_mask = np.unique(deal(masks) & (buckets - 1))
         for batch in it:
             ids = batch.column("node").to_numpy(zero_copy_only=False).astype("<i8")
             labels = batch.column("label").to_numpy(zero_copy_only=False).astype("<i8")
             data = np.frombuffer(b"".join(batch.column("data").to_pylist()), np.uint8).reshape(len(ids), -1)
             rows = np.concatenate((ids.view(np.uint8).reshape(-1, 8), labels.view(np.uint8).reshape(-1, 8), data), axis=1)
+            shingles = batch.column("shingles").to_pylist()
+            sizes = np.array([len(x) // 8 for x in shingles], "<u4")
             for family in range(FAMILIES):
                 home = deal(narrow_prints(data, family)) & (buckets - 1)
                 for bucket in range(buckets):
-                    own = rows if len(of_mask) == buckets else rows[np.isin(home ^ bucket, of_mask)]
+                    own = np.arange(len(ids)) if len(of_mask) == buckets else np.flatnonzero(np.isin(home ^ bucket, of_mask))
                     if len(own):
-                        yield batches({"bucket": [family * buckets + bucket], "blob": [own.tobytes()]}, schema)
+                        yield batches({"bucket": [family * buckets + bucket], "blob": [rows[own].tobytes()], "sizes": [sizes[own].tobytes()], "shingles": [b"".join([shingles[k] for k in own.tolist()])]}, schema)
 
     def meet(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema, held = arrow_schema("a long, b long"), {}
         kept("simhash", dict)
         for batch in it:
-            for bucket, blob in zip(batch.column("bucket").to_pylist(), batch.column("blob"), strict=True):
-                held.setdefault(bucket, []).append(np.frombuffer(blob.as_buffer(), np.uint8).reshape(-1, 16 + SKETCH // 8).copy())
+            for bucket, *blobs in zip(batch.column("bucket").to_pylist(), *(batch.column(c).to_pylist() for c in ("blob", "sizes", "shingles")), strict=True):
+                held.setdefault(bucket, []).append(blobs)
         for bucket in sorted(held):
-            rows = np.concatenate(held.pop(bucket))
+            blob, sizes, shingles = (b"".join(x) for x in zip(*held.pop(bucket), strict=True))
+            rows = np.frombuffer(blob, np.uint8).reshape(-1, 16 + SKETCH // 8)
             ids, labels = (np.ascontiguousarray(rows[:, k : k + 8]).view("<i8").ravel() for k in (0, 8))
-            i, j = family_pairs(np.ascontiguousarray(rows[:, 16:]), labels, bucket // buckets, masks, whole, bits, bucket % buckets)
+            i, j = family_pairs(np.ascontiguousarray(rows[:, 16:]), labels, bucket // buckets, masks, least is not None, bits, bucket % buckets)
+            if least is not None:
+                sets = np.split(np.frombuffer(shingles, np.uint64), np.cumsum(np.frombuffer(sizes, "<u4"))[:-1])
+                linked = similar_links(i, j, labels, sets, least)
+                i, j = i[linked], j[linked]
             for at in range(0, len(i), 100_000):
                 x, y = ids[i[at : at + 100_000]], ids[j[at : at + 100_000]]
                 yield batches({"a": np.minimum(x, y), "b": np.maximum(x, y)}, schema)
 
-    sent = nodes.select("node", "label", "data").mapInArrow(send, "bucket int, blob binary")
+    sent = nodes.select("node", "label", "data", "shingles").mapInArrow(send, ddl)
     return sent.repartitionById(FAMILIES * buckets, "bucket").mapInArrow(meet, "a long, b long")
 
 
+def similar_links(i: np.ndarray, j: np.ndarray, labels: np.ndarray, sets: list[np.ndarray], least: float) -> list[int]:
+    """Which pairs are links that join labels which those before them leave apart. Sizes that rule the similarity out are passed over."""
+    size = np.array([len(x) for x in sets])
+    small, large = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
+    up: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (above := up.get(x, x)) != x:
+            up[x] = up.get(above, above)
+            x = up[x]
+        return x
+
+    found = []
+    for k in np.flatnonzero(small >= least * large).tolist():
+        a, b = top(int(labels[i[k]])), top(int(labels[j[k]]))
+        if a != b and similarity(sets[i[k]], sets[j[k]]) >= least:
+            up[max(a, b)] = min(a, b)
+            found.append(k)
+    return found
+
+
 def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int, least: float) -> DataFrame:
     """The pairs (a, b) of nodes whose shingles have at least that Jaccard similarity."""
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
@@ -473,20 +515,24 @@ def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int, le
 def similar_groups(docs: DataFrame, words: int, radius: int, least: float) -> DataFrame:
     """(doc_id, component_id) of rows with a doc_id: the smallest doc_id that links of the
     similarity reach. First forests of near pairs are verified; where they leave texts of one forest apart,
-    all their pairs that are still apart are met."""
+    all their pairs that are still apart are compared, within the buckets in which they meet."""
     prints = stash(text_nodes(docs, words), "doc-sketches")
     nodes = stash(prints.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("data").alias("data")), "sketches")
-    found = stash(near_pairs(nodes.withColumn("label", F.col("node")), radius, False).distinct(), "near-pairs")
+    found = stash(near_pairs(nodes, radius).distinct(), "near-pairs")
     links = stash(verified(docs, nodes, found, words, least), "near-links")
     roots = stash(components(links), "near-roots")
     # Texts of one forest that verified links leave in several parts.
     parts = components(found).withColumnRenamed("root", "group").join(roots.hint("merge"), "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
     parts = stash(parts, "near-parts")
     split = parts.groupBy("group").agg(F.min("label").alias("one"), F.max("label").alias("other")).where("one <> other").select("group")
-    rest = stash(parts.join(split.hint("merge"), "group", "left_semi").join(nodes.hint("merge"), "node").select("node", "label", "data"), "near-rest")
-    if rest.limit(1).count():
-        more = stash(near_pairs(rest, radius, True).distinct().join(found.hint("merge"), ["a", "b"], "left_anti"), "near-pairs")
-        roots = components(links.unionByName(verified(docs, nodes, more, words, least)))
+    apart = parts.join(split.hint("merge"), "group", "left_semi").join(nodes.hint("merge"), "node")
+    apart = stash(apart.select("node", "label", "data", "least"), "near-rest")
+    if apart.limit(1).count():
+        ids = apart.select(F.col("least").alias("skein_id"))
+        rows = docs.join(ids.hint("merge"), docs["doc_id"].cast("long") == ids["skein_id"], "left_semi")
+        sets = text_nodes(rows, words, sets=True).groupBy("node").agg(F.first("data").alias("shingles"))
+        rest = stash(apart.join(sets.hint("merge"), "node").select("node", "label", "data", "shingles"), "near-rest")
+        roots = components(links.unionByName(near_links(rest, radius, least)))
     marked = stash(nodes.select("node", "least").join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node")), "roots")
     names = marked.groupBy("root").agg(F.min("least").alias("component_id"))
     named = marked.join(names.hint("merge"), "root").select("node", "component_id")
