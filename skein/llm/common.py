@@ -88,6 +88,13 @@ def forget_since(spark: SparkSession, before: int) -> None:
         delete(spark, made(spark).pop())
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that nothing refers to any more; it does so when the driver's
+    memory is collected, which on a large heap is long after."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def settled(df: DataFrame, name: str, before: int) -> DataFrame:
     """A small result, stashed, without the tables it needed that were stashed after the first so many."""
     back = stash(df, name)

@@ -20,7 +20,13 @@ to meet in one of them. Pairs that meet are checked by all bits of both and
 then by the exact similarity of their shingles. A family gives only a forest of the pairs it
 has met, those of the nearest bits, and the texts nearest to the middle of a large group
 are met with all of it. Where exact similarity then leaves such a forest's texts
-apart, all their other pairs are met too, so no link is lost; a group of copies costs its size.
+apart, all of them are compared, so no link is lost; a group of copies costs its size. Texts of a
+forest are sent to one task; of a large one, its blocks are met two by two. Two texts of the
+similarity share one of the rarest shingles of both (as many as may differ, and one), so only those are compared.
+
+A family is one bucket while its sketches fit; beyond, sketches are dealt to cells: prints that differ in at
+most radius bits agree in one of radius + 1 fields, so a sketch is sent to the cell of each field's value,
+whatever the number of cells, and a family is met and written before the next is sent.
 
 Edge cases: null and empty texts have fingerprint zero and are linked like any
 other; fewer words than a shingle give one shingle of all words; the table may
@@ -38,14 +44,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import arrow_schema, batches, bounded_batches, kept, made, settled, stash
+from skein.llm.common import arrow_schema, batches, bounded_batches, kept, made, release, settled, stash
 from skein.llm.links import components
 
 BITS = 64
 BUCKETS = 64
 #: Fingerprints that one bucket may hold (20 bytes each while it works); beyond, there are more buckets.
 BUCKET_PRINTS = 16_000_000
-#: The same for sketches, of about 110 bytes.
+#: The same for sketches, of about 110 bytes: a family of more is dealt to cells of half as many.
 BUCKET_SKETCHES = 2_000_000
 #: Variants made at a time in a bucket.
 PASS_VARIANTS = 2_000_000
@@ -60,8 +66,9 @@ SKETCH_RADIUS = 180
 HELD_PAIRS = 4_000_000
 #: Of a group so many texts nearest to its middle are met with all others.
 CENTRES = 3
-#: The same for texts with all their shingles.
-BUCKET_TEXTS = 20_000
+#: Bytes of shingles in a block of a forest, as far as it goes by the mean; two blocks are met in a task. A forest
+#: of more than SPREAD_BYTES is cut into up to SPREAD blocks anyway, so that several tasks share its work.
+BLOCK_BYTES, SPREAD_BYTES, SPREAD = 16 << 20, 1 << 20, 4
 #: Equal variants of which all pairs are listed at once; of more, neighbours only.
 LONG_RUN = 8
 
@@ -317,24 +324,21 @@ def narrow_prints(rows: np.ndarray, family: int) -> np.ndarray:
     return np.packbits(wide, axis=1, bitorder="little").view("<u8").ravel().astype(np.uint64)
 
 
-def run_pairs(keys: np.ndarray, at: np.ndarray, label: np.ndarray, whole: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (i, j) of rows of equal keys and different labels. Unless whole, of more than LONG_RUN equal keys only neighbours are paired."""
-    order = np.lexsort((label[at], keys))
+def run_pairs(keys: np.ndarray, at: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i, j) of rows of equal keys. Of more than LONG_RUN equal keys only neighbours, by their ids, are paired."""
+    order = np.lexsort((ids[at], keys))
     keys, at = keys[order], at[order]
     edge = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1], [True])))
     size = np.diff(edge)
     start, stop = edge[:-1][size > 1], edge[1:][size > 1]
-    mixed_run = label[at[start]] != label[at[stop - 1]]
-    start, stop = start[mixed_run], stop[mixed_run]
-    most = np.where((stop - start > LONG_RUN) & (not whole), 1, stop - start - 1)
+    most = np.where(stop - start > LONG_RUN, 1, stop - start - 1)
     found_i, found_j, step = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 1
     while len(start):
         reach = stop - start - step
         i = np.repeat(start, reach) + np.arange(reach.sum()) - np.repeat(np.cumsum(reach) - reach, reach)
         x, y = at[i], at[i + step]
-        apart = label[x] != label[y]
-        found_i.append(np.minimum(x, y)[apart])
-        found_j.append(np.maximum(x, y)[apart])
+        found_i.append(np.minimum(x, y))
+        found_j.append(np.maximum(x, y))
         step += 1
         more = most >= step
         start, stop, most = start[more], stop[more], most[more]
@@ -379,9 +383,8 @@ def centre_pairs(rows: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.nd
     return both[:, 0], both[:, 1]
 
 
-def family_pairs(rows: np.ndarray, label: np.ndarray, family: int, masks: np.ndarray, whole: bool, bits: int, bucket: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of a bucket of one family whose balls meet and whose sketches are near enough: all of
-    different labels if whole, else a forest of them."""
+def family_pairs(rows: np.ndarray, ids: np.ndarray, family: int, masks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A forest of the pairs of one family whose balls (of these masks) meet and whose sketches are near enough."""
     n, wide = len(rows), rows.view("<u8")
 
     def apart(i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -393,18 +396,16 @@ def family_pairs(rows: np.ndarray, label: np.ndarray, family: int, masks: np.nda
         return pairs[forest(n, i, j, apart(i, j))]
 
     found, held = [np.zeros(0, np.int64)], 0
-    for variants, at in met_variants(narrow_prints(rows, family), masks, bits, bucket, NARROW):
-        i, j = run_pairs(variants, at, label, whole)
+    for variants, at in met_variants(narrow_prints(rows, family), masks, 0, 0, NARROW):
+        i, j = run_pairs(variants, at, ids)
         pairs = distinct(i * n + j)
         found.append(pairs[apart(pairs // n, pairs % n) <= SKETCH_RADIUS] if len(pairs) else pairs)
         held += len(found[-1])
-        if held > HELD_PAIRS and not whole:  # a forest of a forest and more links is that of all
+        if held > HELD_PAIRS:  # a forest of a forest and more links is that of all
             found = [pruned(distinct(np.concatenate(found)))]
             held = len(found[0])
     pairs = distinct(np.concatenate(found))
     i, j = pairs // max(n, 1), pairs % max(n, 1)
-    if whole:
-        return i, j
     a, b = centre_pairs(rows, joined(np.arange(n), i, j))
     near = apart(a, b) <= SKETCH_RADIUS
     i, j = np.concatenate((i, a[near])), np.concatenate((j, b[near]))
@@ -413,87 +414,129 @@ def family_pairs(rows: np.ndarray, label: np.ndarray, family: int, masks: np.nda
 
 
 def near_pairs(nodes: DataFrame, radius: int) -> DataFrame:
-    """(a, b): pairs of nodes of a table (node, data) whose balls meet in one family at least, a forest of each bucket."""
-    return in_families(nodes.withColumns({"label": F.col("node"), "shingles": F.lit(b"")}), radius, BUCKET_SKETCHES, None)
-
+    """(a, b): pairs of nodes of a table (node, data) whose balls meet in one family at least, a forest of each bucket.
 
-def near_links(nodes: DataFrame, radius: int, least: float) -> DataFrame:
-    """(a, b): links of at least that similarity between nodes of a table (node, label, data, shingles) whose
-    labels differ and whose balls meet; all such pairs are compared in their bucket, and a link is left
-    out where those before it join the same."""
-    return in_families(nodes, radius, BUCKET_TEXTS, least)
+    A family of more than BUCKET_SKETCHES is met in cells, by its own shuffle, which is written before the next.
+    """
+    rows = nodes.count()
+    if rows <= BUCKET_SKETCHES:
+        return met_sketches(nodes, range(FAMILIES), radius, 1, 0)
+    fields = radius + 1
+    width = min(NARROW // fields, int(np.ceil(np.log2(2 * rows / BUCKET_SKETCHES))))
+    found = None
+    for family in range(FAMILIES):
+        own = stash(met_sketches(nodes, range(family, family + 1), radius, fields, width), "family-pairs")
+        release(nodes.sparkSession)
+        found = own if found is None else found.unionByName(own)
+    return found
 
 
-def in_families(nodes: DataFrame, radius: int, most_rows: int, least: float | None) -> DataFrame:
-    """Deal nodes (node, label, data, shingles) to the buckets of all families, and meet them there."""
-    masks = ball(radius // 2, NARROW)
-    buckets = buckets_for(nodes.count(), len(masks), 1, most_rows)
-    bits = buckets.bit_length() - 1
-    ddl = "bucket int, blob binary, sizes binary, shingles binary"
+def met_sketches(nodes: DataFrame, families: range, radius: int, fields: int, width: int) -> DataFrame:
+    """The pairs of some families, whose sketches are dealt by the values of so many fields of so many bits."""
+    ddl, cells = "bucket int, blob binary", fields << width
+    low, ball_masks = np.uint64((1 << width) - 1), ball(radius // 2, NARROW)
+    # Prints of a cell differ outside its field only.
+    masks_of = [ball_masks[ball_masks & (low << np.uint64(f * width)) == 0] for f in range(fields)]
 
     def send(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema, deal = arrow_schema(ddl), LinearHash(32)
-        of_mask = np.unique(deal(masks) & (buckets - 1))
+        schema = arrow_schema(ddl)
         for batch in it:
             ids = batch.column("node").to_numpy(zero_copy_only=False).astype("<i8")
-            labels = batch.column("label").to_numpy(zero_copy_only=False).astype("<i8")
             data = np.frombuffer(b"".join(batch.column("data").to_pylist()), np.uint8).reshape(len(ids), -1)
-            rows = np.concatenate((ids.view(np.uint8).reshape(-1, 8), labels.view(np.uint8).reshape(-1, 8), data), axis=1)
-            shingles = batch.column("shingles").to_pylist()
-            sizes = np.array([len(x) // 8 for x in shingles], "<u4")
-            for family in range(FAMILIES):
-                home = deal(narrow_prints(data, family)) & (buckets - 1)
-                for bucket in range(buckets):
-                    own = np.arange(len(ids)) if len(of_mask) == buckets else np.flatnonzero(np.isin(home ^ bucket, of_mask))
-                    if len(own):
-                        yield batches({"bucket": [family * buckets + bucket], "blob": [rows[own].tobytes()], "sizes": [sizes[own].tobytes()], "shingles": [b"".join([shingles[k] for k in own.tolist()])]}, schema)
+            rows = np.concatenate((ids.view(np.uint8).reshape(-1, 8), data), axis=1)
+            for place, family in enumerate(families):
+                prints = narrow_prints(data, family)
+                for field in range(fields):
+                    value = (prints >> np.uint64(field * width) & low).astype(np.int64)
+                    order = np.argsort(value, kind="stable")
+                    found, starts = np.unique(value[order], return_index=True)
+                    blobs = [x.tobytes() for x in np.split(rows[order], starts[1:])]
+                    if len(ids):
+                        yield batches({"bucket": place * cells + (field << width) + found, "blob": blobs}, schema)
 
     def meet(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema, held = arrow_schema("a long, b long"), {}
         kept("simhash", dict)
         for batch in it:
-            for bucket, *blobs in zip(batch.column("bucket").to_pylist(), *(batch.column(c).to_pylist() for c in ("blob", "sizes", "shingles")), strict=True):
-                held.setdefault(bucket, []).append(blobs)
+            for bucket, blob in zip(batch.column("bucket").to_pylist(), batch.column("blob").to_pylist(), strict=True):
+                held.setdefault(bucket, []).append(blob)
         for bucket in sorted(held):
-            blob, sizes, shingles = (b"".join(x) for x in zip(*held.pop(bucket), strict=True))
-            rows = np.frombuffer(blob, np.uint8).reshape(-1, 16 + SKETCH // 8)
-            ids, labels = (np.ascontiguousarray(rows[:, k : k + 8]).view("<i8").ravel() for k in (0, 8))
-            i, j = family_pairs(np.ascontiguousarray(rows[:, 16:]), labels, bucket // buckets, masks, least is not None, bits, bucket % buckets)
-            if least is not None:
-                sets = np.split(np.frombuffer(shingles, np.uint64), np.cumsum(np.frombuffer(sizes, "<u4"))[:-1])
-                linked = similar_links(i, j, labels, sets, least)
-                i, j = i[linked], j[linked]
+            rows = np.frombuffer(b"".join(held.pop(bucket)), np.uint8).reshape(-1, 8 + SKETCH // 8)
+            ids = np.ascontiguousarray(rows[:, :8]).view("<i8").ravel()
+            i, j = family_pairs(np.ascontiguousarray(rows[:, 8:]), ids, families[bucket // cells], masks_of[(bucket % cells) >> width])
             for at in range(0, len(i), 100_000):
                 x, y = ids[i[at : at + 100_000]], ids[j[at : at + 100_000]]
                 yield batches({"a": np.minimum(x, y), "b": np.maximum(x, y)}, schema)
 
-    sent = nodes.select("node", "label", "data", "shingles").mapInArrow(send, ddl)
-    return sent.repartitionById(FAMILIES * buckets, "bucket").mapInArrow(meet, "a long, b long")
-
-
-def similar_links(i: np.ndarray, j: np.ndarray, labels: np.ndarray, sets: list[np.ndarray], least: float) -> list[int]:
-    """Which pairs are links that join labels which those before them leave apart. Sizes that rule the similarity out are passed over."""
-    size = np.array([len(x) for x in sets])
-    small, large = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
-    up: dict[int, int] = {}
-
-    def top(x: int) -> int:
-        while (above := up.get(x, x)) != x:
-            up[x] = up.get(above, above)
-            x = up[x]
-        return x
+    sent = nodes.select("node", "data").mapInArrow(send, ddl)
+    return sent.repartitionById(len(families) * cells, "bucket").mapInArrow(meet, "a long, b long")
+
+
+def similar_links(sets: list[np.ndarray], labels: np.ndarray, side: np.ndarray, least: float) -> tuple[list[int], list[int]]:
+    """Links (i, j) of at least that similarity that join labels which those before them leave apart, between texts of
+    both sides, or among all where there is one side. Shingles of a set are distinct."""
+    n = len(sets)
+    size = np.array([len(x) for x in sets], np.int64)
+    names, token, many = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_inverse=True, return_counts=True)
+    rare = np.empty(len(names), np.int64)
+    rare[np.argsort(many, kind="stable")] = np.arange(len(names))
+    row = np.repeat(np.arange(n), size)
+    token = rare[token]
+    token = token[np.lexsort((token, row))]  # of each text, the rarest first
+    start = np.concatenate(([0], np.cumsum(size)))
+    # Of s shingles at least least * s are shared, so one of the rarest s - that + 1 of both is.
+    front = size - np.ceil(least * size - 1e-9).astype(np.int64) + 1
+    first = np.arange(len(token)) - start[row] < front[row]
+    order = np.argsort(token[first], kind="stable")
+    holder = row[first][order]
+    edge = np.searchsorted(token[first][order], np.arange(len(names) + 1))
+    mark, label = np.zeros(len(names), bool), np.unique(labels, return_inverse=True)[1]
+    found_i, found_j = [], []
+
+    def runs(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
+        return np.repeat(begin - np.cumsum(count) + count, count) + np.arange(count.sum())
+
+    two = len(np.unique(side)) > 1
+    for i in range(n):
+        own = token[start[i] : start[i + 1]]
+        asked = own[: front[i]]
+        met = np.unique(holder[runs(edge[asked], edge[asked + 1] - edge[asked])]) if len(own) else own
+        met = met[(met < i) & (label[met] != label[i]) & (np.minimum(size[met], size[i]) >= least * np.maximum(size[met], size[i]))]
+        if two:
+            met = met[side[met] != side[i]]
+        if not len(met):
+            continue
+        mark[own] = True
+        both = np.add.reduceat(mark[token[runs(start[met], size[met])]], np.cumsum(size[met]) - size[met], dtype=np.int64)
+        mark[own] = False
+        for j in met[both / (size[met] + size[i] - both) >= least].tolist():
+            if label[i] != label[j]:
+                label[label == label[j]] = label[i]
+                found_i.append(i)
+                found_j.append(j)
+    return found_i, found_j
+
+
+def near_links(parts: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """(a, b): links of at least that similarity between nodes of a table (node, group, label, blocks) of one group
+    and different labels, by their shingles (node, data); of each group all pairs are compared, and a link is left
+    out where those before it join the same. A group's nodes are cut into blocks, and each two blocks meet in a task."""
+
+    def meet(table: pa.Table) -> pa.Table:
+        kept("simhash", dict)
+        ids, labels, side = (table.column(c).to_numpy() for c in ("node", "label", "block"))
+        i, j = similar_links([np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("data")], labels, side, least)
+        return pa.table({"a": np.minimum(ids[i], ids[j]) if i else ids[:0], "b": np.maximum(ids[i], ids[j]) if i else ids[:0]})
 
-    found = []
-    for k in np.flatnonzero(small >= least * large).tolist():
-        a, b = top(int(labels[i[k]])), top(int(labels[j[k]]))
-        if a != b and similarity(sets[i[k]], sets[j[k]]) >= least:
-            up[max(a, b)] = min(a, b)
-            found.append(k)
-    return found
+    own = F.pmod(F.xxhash64("node"), "blocks")
+    dealt = parts.select("node", "group", "label", own.alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select("node", "group", "label", "block", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"))
+    return dealt.join(sets.hint("merge"), "node").groupBy("group", "p", "q").applyInArrow(meet, "a long, b long")
 
 
 def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int, least: float) -> DataFrame:
-    """The pairs (a, b) of nodes whose shingles have at least that Jaccard similarity."""
+    """The pairs (a, b) of nodes whose shingles have at least that Jaccard similarity. The shingles (node, data) of
+    all their nodes are its attribute skein_sets."""
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     ids = nodes.join(ends.hint("merge"), "node").select(F.col("least").alias("skein_id")).distinct()
     rows = docs.join(ids.hint("merge"), docs["doc_id"].cast("long") == ids["skein_id"], "left_semi")
@@ -509,30 +552,34 @@ def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int, le
             held = batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
             yield batches({"a": held.column("a"), "b": held.column("b")}, schema)
 
-    return pairs.join(one.hint("merge"), "a").join(two.hint("merge"), "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    out = pairs.join(one.hint("merge"), "a").join(two.hint("merge"), "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    out.skein_sets = sets
+    return out
 
 
 def similar_groups(docs: DataFrame, words: int, radius: int, least: float) -> DataFrame:
     """(doc_id, component_id) of rows with a doc_id: the smallest doc_id that links of the
     similarity reach. First forests of near pairs are verified; where they leave texts of one forest apart,
-    all their pairs that are still apart are compared, within the buckets in which they meet."""
+    all its pairs that are still apart are compared."""
     prints = stash(text_nodes(docs, words), "doc-sketches")
     nodes = stash(prints.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("data").alias("data")), "sketches")
     found = stash(near_pairs(nodes, radius).distinct(), "near-pairs")
-    links = stash(verified(docs, nodes, found, words, least), "near-links")
+    release(docs.sparkSession)
+    checked = verified(docs, nodes, found, words, least)
+    links, sets = stash(checked, "near-links"), checked.skein_sets
+    release(docs.sparkSession)
     roots = stash(components(links), "near-roots")
     # Texts of one forest that verified links leave in several parts.
+    sizes = sets.select("node", (F.length("data") + 64).cast("long").alias("bytes"))
     parts = components(found).withColumnRenamed("root", "group").join(roots.hint("merge"), "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
-    parts = stash(parts, "near-parts")
-    split = parts.groupBy("group").agg(F.min("label").alias("one"), F.max("label").alias("other")).where("one <> other").select("group")
-    apart = parts.join(split.hint("merge"), "group", "left_semi").join(nodes.hint("merge"), "node")
-    apart = stash(apart.select("node", "label", "data", "least"), "near-rest")
+    parts = stash(parts.join(sizes.hint("merge"), "node"), "near-parts")
+    blocks = F.greatest(F.ceil(F.sum("bytes") / BLOCK_BYTES), F.least(F.ceil(F.sum("bytes") / SPREAD_BYTES), F.lit(SPREAD).cast("long")))
+    split = parts.groupBy("group").agg(F.min("label").alias("one"), F.max("label").alias("other"), blocks.alias("blocks")).where("one <> other").select("group", "blocks")
+    apart = stash(parts.join(split.hint("merge"), "group").select("node", "group", "label", "blocks"), "near-rest")
     if apart.limit(1).count():
-        ids = apart.select(F.col("least").alias("skein_id"))
-        rows = docs.join(ids.hint("merge"), docs["doc_id"].cast("long") == ids["skein_id"], "left_semi")
-        sets = text_nodes(rows, words, sets=True).groupBy("node").agg(F.first("data").alias("shingles"))
-        rest = stash(apart.join(sets.hint("merge"), "node").select("node", "label", "data", "shingles"), "near-rest")
-        roots = components(links.unionByName(near_links(rest, radius, least)))
+        more = stash(near_links(apart, sets, least), "near-links")
+        roots = components(links.unionByName(more))
+        release(docs.sparkSession)
     marked = stash(nodes.select("node", "least").join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node")), "roots")
     names = marked.groupBy("root").agg(F.min("least").alias("component_id"))
     named = marked.join(names.hint("merge"), "root").select("node", "component_id")

@@ -161,3 +161,49 @@ def test_large_group_around_one_text(make_docs, monkeypatch):
     monkeypatch.setattr(simhash, "verified", watched)
     got = {r.doc_id for r in simhash.one_of_each(make_docs(rows)).collect()}
     assert got == {i + 1 for i in range(90) if up[i] == i} == {1} and sum(asked) < 90 * 20
+
+
+def shuffled(spark):
+    """Bytes that all stages so far wrote to shuffles."""
+    jvm, sc = spark._jvm, spark.sparkContext
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+
+@pytest.mark.parametrize("sketches", [2_000_000, 130])
+def test_split_forests_beyond_a_bucket(spark, make_docs, monkeypatch, sketches):
+    """Forests that exact similarity splits, of more texts than a bucket has, cost a few times their size, in one bucket and in cells."""
+    rng = np.random.default_rng(21)
+    rows, sets = [], []
+    for _ in range(10):
+        words = [f"w{x}" for x in rng.integers(0, 9000, 300)]
+        for k in range(12):  # versions drift, so the first and the last are far apart, and some copies have many changes
+            for at in rng.choice(300, 1, replace=False):
+                words[at] = f"v{rng.integers(0, 9000)}"
+            copy = list(words)
+            for at in rng.choice(300, (0, 4, 9)[k % 3], replace=False):
+                copy[at] = f"u{rng.integers(0, 9000)}"
+            rows.append((len(rows) + 1, " ".join(copy)))
+            sets.append({tuple(copy[j : j + 5]) for j in range(len(copy) - 4)})
+    n = len(rows)
+    links = [(i, j) for i in range(n) for j in range(i + 1, n) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    up = unions(n, links)
+    assert 10 < len(set(up)) < n
+    monkeypatch.setattr(simhash, "BUCKET_TEXTS", 30, raising=False)
+    monkeypatch.setattr(simhash, "BLOCK_BYTES", 10_000, raising=False)
+    monkeypatch.setattr(simhash, "BUCKET_SKETCHES", sketches)
+    docs, before = make_docs(rows).persist(), shuffled(spark)
+    assert {r.doc_id for r in simhash.one_of_each(docs).collect()} == {i + 1 for i in range(n) if up[i] == i}
+    assert shuffled(spark) - before < 20 * sum(len(t) for _, t in rows)
+
+
+def test_links_by_rarest_shingles():
+    rng = np.random.default_rng(3)
+    base = [np.unique(rng.integers(0, 2**63, int(rng.integers(1, 60)), dtype=np.uint64)) for _ in range(8)]
+    sets = [np.unique(np.concatenate((b[rng.random(len(b)) > rng.random() * 0.3], rng.integers(0, 2**63, int(rng.integers(0, 6)), dtype=np.uint64)))) for b in base for _ in range(9)] + [base[0][:0]]
+    n = len(sets)
+    side = rng.integers(0, 2, n)
+    for sides in (np.zeros(n, np.int64), side):
+        pairs = [(i, j) for i in range(n) for j in range(i) if simhash.similarity(sets[i], sets[j]) >= 0.8 and (sides is not side or side[i] != side[j])]
+        i, j = simhash.similar_links(sets, np.arange(n) * 7, sides, 0.8)
+        assert pairs and set(zip(i, j)) <= set(pairs) and unions(n, zip(i, j)) == unions(n, pairs)
